@@ -6,32 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(prefix: str, name: str) -> Column:
-    return F.col(prefix + name)
-
-
 def box_area(p: str = "") -> Column:
-    return _c(p, "w") * _c(p, "h")
+    return F.expr(f"({p}w * {p}h)")
 
 
-def overlap_side(p: str, q: str, pos: str, size: str) -> Column:
-    far = F.least(_c(p, pos) + _c(p, size), _c(q, pos) + _c(q, size))
-    return F.greatest(F.lit(0).cast("long"), far - F.greatest(_c(p, pos), _c(q, pos)))
+def _inter(p: str, q: str) -> str:
+    side = "greatest(0L, least({p}{a} + {p}{s}, {q}{a} + {q}{s}) - greatest({p}{a}, {q}{a}))"
+    return "(" + " * ".join(side.format(p=p, q=q, a=a, s=s) for a, s in (("x", "w"), ("y", "h"))) + ")"
 
 
 def intersection_area(p: str = "a_", q: str = "b_") -> Column:
-    return overlap_side(p, q, "x", "w") * overlap_side(p, q, "y", "h")
+    return F.expr(_inter(p, q))
 
 
 def gap(p: str, q: str, pos: str, size: str) -> Column:
     """Empty pixels between two boxes on one axis, 0 when they meet."""
-    near = F.greatest(_c(p, pos), _c(q, pos))
-    return F.greatest(F.lit(0).cast("long"), near - F.least(_c(p, pos) + _c(p, size), _c(q, pos) + _c(q, size)))
+    return F.expr(f"greatest(0L, greatest({p}{pos}, {q}{pos}) - least({p}{pos} + {p}{size}, {q}{pos} + {q}{size}))")
 
 
 def iou_above(p: str, q: str, limit: float) -> Column:
-    inter = intersection_area(p, q)
-    return inter > F.lit(limit) * (box_area(p) + box_area(q) - inter)
+    i = _inter(p, q)
+    return F.expr(f"{i} > {limit!r}D * ({p}w * {p}h + {q}w * {q}h - {i})")
 
 
 def padded(pad: int, width, height) -> dict[str, Column]:

@@ -14,19 +14,17 @@ from pyspark.sql import functions as F
 BOX = ("x", "y", "w", "h")
 
 
-def _grid(col: Column, cell: int) -> Column:
-    return F.floor(col / F.lit(cell)).cast("long")
-
-
 def _covered(df: DataFrame, prefix: str, keys: Sequence[str], reach: int, cell: int) -> DataFrame:
     """One row per grid cell that the box, grown by ``reach``, touches."""
-    named = df.select(*[F.col(c).alias(c if c in keys else f"{prefix}{c}") for c in df.columns])
-    x, y, w, h = (F.col(f"{prefix}{c}") for c in BOX)
+    p = prefix
     return (
-        named.withColumn(f"{prefix}gx0", _grid(x - reach, cell))
-        .withColumn(f"{prefix}gy0", _grid(y - reach, cell))
-        .withColumn("gx", F.explode(F.sequence(F.col(f"{prefix}gx0"), _grid(x + w + reach, cell))))
-        .withColumn("gy", F.explode(F.sequence(F.col(f"{prefix}gy0"), _grid(y + h + reach, cell))))
+        df.selectExpr(
+            *[c if c in keys else f"{c} as {p}{c}" for c in df.columns],
+            f"floor((x - {reach}) / {cell}) as {p}gx0",
+            f"floor((y - {reach}) / {cell}) as {p}gy0",
+        )
+        .selectExpr("*", f"explode(sequence({p}gx0, floor(({p}x + {p}w + {reach}) / {cell}))) as gx")
+        .selectExpr("*", f"explode(sequence({p}gy0, floor(({p}y + {p}h + {reach}) / {cell}))) as gy")
     )
 
 
@@ -41,16 +39,16 @@ def near_pairs(
     """Pairs of boxes whose gap is at most ``reach`` on both axes, each pair once.
 
     Left columns come back with prefix ``a_`` and right ones with ``b_``; ``where`` may use both. A pair that
-    shares several cells is kept only in the first of them, so no ``distinct`` is needed.
+    shares several cells is kept only in the first of them, so no ``distinct`` is needed. The merge hint keeps
+    the exploded rows out of a broadcast (their size is not known from the files) and lets a dense cell be
+    split by the skew-join rule.
     """
     a = _covered(left, "a_", keys, reach, cell)
     b = _covered(right, "b_", keys, 0, cell)
-    first_cell = (F.col("gx") == F.greatest("a_gx0", "b_gx0")) & (F.col("gy") == F.greatest("a_gy0", "b_gy0"))
-    close = (
-        (F.greatest("a_x", "b_x") - F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")) <= reach)
-        & (F.greatest("a_y", "b_y") - F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")) <= reach)
-    )
-    joined = a.join(b, [*keys, "gx", "gy"]).where(first_cell & close)
+    close = f"""gx = greatest(a_gx0, b_gx0) and gy = greatest(a_gy0, b_gy0)
+        and greatest(a_x, b_x) - least(a_x + a_w, b_x + b_w) <= {reach}
+        and greatest(a_y, b_y) - least(a_y + a_h, b_y + b_h) <= {reach}"""
+    joined = a.join(b.hint("merge"), [*keys, "gx", "gy"]).where(close)
     if where is not None:
         joined = joined.where(where)
     return joined.drop("gx", "gy", "a_gx0", "a_gy0", "b_gx0", "b_gy0")
@@ -64,19 +62,10 @@ def near_points(
     where: Column | None = None,
 ) -> DataFrame:
     """Pairs of points (columns x, y) with squared distance ``d2`` at most ``radius`` squared."""
-    d2 = (F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")) + (F.col("a_y") - F.col("b_y")) * (
-        F.col("a_y") - F.col("b_y")
-    )
+    d2 = F.expr("(a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)")
     near = d2 <= F.lit(radius * radius)
-    point = {"w": F.lit(0).cast("long"), "h": F.lit(0).cast("long")}
-    pairs = near_pairs(
-        left.withColumns(point),
-        right.withColumns(point),
-        keys,
-        reach=radius,
-        cell=max(radius, 1),
-        where=near if where is None else near & where,
-    )
+    sized = [df.selectExpr("*", "0L as w", "0L as h") for df in (left, right)]
+    pairs = near_pairs(*sized, keys, reach=radius, cell=max(radius, 1), where=near if where is None else near & where)
     return pairs.drop("a_w", "a_h", "b_w", "b_h").withColumn("d2", d2)
 
 

@@ -17,6 +17,7 @@ def build_session(app: str = "cytoloom", cores: str = "8", **conf: str) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **conf,

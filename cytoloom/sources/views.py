@@ -44,10 +44,10 @@ STATE_CASE = """case event_type when 'view' then 'Resting' when 'click' then 'Su
 
 BOXES = """select l_suppkey image_id,
   l_orderkey * 8388608 + l_linenumber * 1048576
-    + (l_partkey * 31 + cast(round(l_extendedprice * 100) as bigint)) % 1048576 j,
+    + (l_partkey * 31 + cast(floor(l_extendedprice * cast(100 as double) + cast(0.5 as double)) as bigint)) % 1048576 j,
   (l_orderkey * 7 + l_linenumber * 131) % 1800 x, (l_partkey * 13 + l_orderkey * 3) % 1300 y,
   4 + l_partkey % 110 w, 4 + l_orderkey % 90 h,
-  cast(floor((4 + l_partkey % 110) * (4 + l_orderkey % 90) * (40 + 10 * (l_linenumber % 6)) / 100.0) as bigint) area
+  cast(floor((4 + l_partkey % 110) * (4 + l_orderkey % 90) * (40 + 10 * (l_linenumber % 6)) / cast(100 as double)) as bigint) area
 from lineitem"""
 
 CONTOUR_PTS = """select user_id % 10 image_id, user_id * 8 + event_id % 8 contour_id, event_id seq,
