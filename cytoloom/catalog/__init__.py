@@ -6,7 +6,7 @@ import importlib
 
 from cytoloom.catalog.registry import CHECKS, QUERIES
 
-PARTS = ("boxes",)
+PARTS = ("boxes", "pixels", "stencils")
 
 
 def _load() -> None:

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLIDE_W, SLIDE_H = 1800, 1300
-SIDE = 64
-RINGS = 5
+SIDE = 48
+RINGS = 4
 
 
 def _ring(k: int) -> tuple[str, str, str]:
     return (
         f"((image_id * 37 + {k * 29 + 7}) % {SIDE})",
         f"((image_id * 53 + {k * 41 + 11}) % {SIDE})",
-        f"(4 + (image_id + {3 * k}) % 9)",
+        f"(3 + (image_id + {3 * k}) % 8)",
     )
 
 
@@ -148,10 +148,11 @@ class Views:
             self.table("supplier")
             .select(item("s_suppkey").alias("image_id"), F.explode(axis).alias("y"))
             .withColumn("x", F.explode(axis))
+            .selectExpr("image_id", "y", "x", f"case when {ANY_RING} then 1 else 0 end ring")
         )
         return (
             grid.join(hits, ["image_id", "y", "x"], "left")
-            .selectExpr("image_id", "y", "x", "coalesce(hit, 0L) hit", f"case when {ANY_RING} then 1 else 0 end ring")
+            .selectExpr("image_id", "y", "x", "coalesce(hit, 0L) hit", "ring")
             .selectExpr(*_split_columns(PIXEL_COLUMNS))
         )
 
