@@ -6,7 +6,7 @@ import importlib
 
 from cytoloom.catalog.registry import CHECKS, QUERIES
 
-PARTS = ("boxes", "pixels", "stencils")
+PARTS = ("boxes", "pixels", "stencils", "regions")
 
 
 def _load() -> None:
