@@ -6,7 +6,7 @@ import importlib
 
 from cytoloom.catalog.registry import CHECKS, QUERIES
 
-PARTS = ("boxes", "pixels", "stencils", "regions")
+PARTS = ("boxes", "pixels", "stencils", "regions", "graph", "statistics")
 
 
 def _load() -> None:

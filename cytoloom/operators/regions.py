@@ -24,7 +24,7 @@ _LABELLED = "image_id long, y long, x long, own boolean, local long, quad long"
 def _tile_labels(tile: int, diagonal: bool, holes: bool):
     """Label one tile's pixels and attach to each the doubled contour area of the 2 x 2 blocks it leads."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         image, ty, tx = (int(k) for k in key)
         yy = (pdf["y"].to_numpy() - ty * tile).astype(np.int64)
         xx = (pdf["x"].to_numpy() - tx * tile).astype(np.int64)
