@@ -6,7 +6,7 @@ import importlib
 
 from cytoloom.catalog.registry import CHECKS, QUERIES
 
-PARTS = ("boxes", "pixels", "stencils", "regions", "graph", "statistics")
+PARTS = ("sources", "boxes", "pixels", "stencils", "regions", "graph", "statistics", "labels", "flows")
 
 
 def _load() -> None:

@@ -8,6 +8,8 @@ first pixel in raster order: y * 2^31 + x.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -124,41 +126,131 @@ def region_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
-def holes_of(background: DataFrame, tile: int = TILE) -> DataFrame:
-    """Background regions (4-connected) of ``background(image_id, width, height, y, x)`` that miss the frame."""
-    size = background.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    stats = region_stats(label_pixels(background, diagonal=False, holes=True, tile=tile))
-    inside = "x > 0 and y > 0 and x + w < width and y + h < height"
-    return stats.join(size, "image_id").where(inside).drop("width", "height")
+@dataclass
+class RegionParts:
+    """Labelled pixels and region tables of one mask, all materialised."""
+
+    foreground: DataFrame  # image_id, y, x, own, quad, region_id
+    background: DataFrame
+    holes: DataFrame  # region_id, x, y, w, h, n_pixels, quad, owner
+    outer: DataFrame  # region_id, x, y, w, h, n_pixels, quad
+
+    def contours(self) -> DataFrame:
+        """Outer borders and hole borders with their boxes and contour areas."""
+        held = self.holes.groupBy("image_id", F.col("owner").alias("region_id")).agg(F.sum("quad").alias("hole_quad"))
+        cols = ["image_id", "region_id", "kind", "x", "y", "w", "h", "n_pixels", "area"]
+        a = self.outer.join(held, ["image_id", "region_id"], "left").selectExpr(
+            "image_id", "region_id", "'outer' as kind", "x", "y", "w", "h", "n_pixels",
+            "(quad + coalesce(hole_quad, 0)) / 2 as area",
+        )
+        b = self.holes.selectExpr(
+            "image_id", "region_id", "'hole' as kind", "x - 1 as x", "y - 1 as y", "w + 2 as w", "h + 2 as h",
+            "n_pixels", "quad / 2 as area",
+        )
+        return a.select(*cols).unionByName(b.select(*cols))
+
+    def enclosure(self, max_depth: int = 64) -> DataFrame:
+        """(image_id, inner, region_id): every part that lies inside a region or hole, itself included."""
+        top = self.outer.selectExpr("image_id", "region_id as inner", f"region_id div {ROW} - 1 as y", f"region_id % {ROW} as x")
+        around = self.background.where("own").select("image_id", "y", "x", "region_id")
+        up = top.join(around, ["image_id", "y", "x"]).select("image_id", "inner", F.col("region_id").alias("parent"))
+        up = up.join(self.holes.selectExpr("image_id", "region_id as parent"), ["image_id", "parent"], "left_semi")
+        up = up.select("image_id", "inner", "parent").unionByName(
+            self.holes.selectExpr("image_id", "region_id as inner", "owner as parent")
+        )
+        up = cut_lineage(up)
+        every = self.outer.select("image_id", "region_id").unionByName(self.holes.select("image_id", "region_id"))
+        found = [every.selectExpr("image_id", "region_id as inner", "region_id")]
+        level = up.selectExpr("image_id", "inner", "parent as region_id")
+        for _ in range(max_depth):
+            level = cut_lineage(level)
+            if level.isEmpty():
+                break
+            found.append(level)
+            step = up.selectExpr("image_id", "inner as region_id", "parent")
+            level = level.join(step, ["image_id", "region_id"]).selectExpr("image_id", "inner", "parent as region_id")
+        else:
+            raise RuntimeError(f"regions nest deeper than {max_depth}")
+        out = found[0]
+        for part in found[1:]:
+            out = out.unionByName(part)
+        return out
+
+
+def region_parts(mask: DataFrame, tile: int = TILE) -> RegionParts:
+    """Regions and holes of a mask (image_id, width, height, y, x, v).
+
+    A hole belongs to the region of the pixel above its first pixel.
+    """
+    foreground = cut_lineage(label_pixels(mask.where("v > 0"), tile=tile))
+    background = cut_lineage(label_pixels(mask.where("v = 0"), diagonal=False, holes=True, tile=tile))
+    size = mask.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    enclosed = region_stats(background).join(size, "image_id").where(
+        "x > 0 and y > 0 and x + w < width and y + h < height"
+    )
+    above = enclosed.selectExpr("*", f"region_id div {ROW} - 1 as ay", f"region_id % {ROW} as ax").drop("width", "height")
+    owners = foreground.where("own").selectExpr("image_id", "y as ay", "x as ax", "region_id as owner")
+    holes = cut_lineage(above.join(owners, ["image_id", "ay", "ax"]).drop("ay", "ax"))
+    return RegionParts(foreground, background, holes, cut_lineage(region_stats(foreground)))
 
 
 def connected_regions(mask: DataFrame, tile: int = TILE) -> DataFrame:
-    """Contours of a mask (image_id, width, height, y, x, v): outer borders and hole borders.
+    """Contours of a mask: outer borders and hole borders with box, pixel count and area.
 
     Area is that of the polygon through border pixel centres: full 2 x 2 blocks count 1 and blocks with three
     pixels 1/2; an outer border also encloses its holes. A hole border runs through the pixels around the hole.
     """
-    labelled = cut_lineage(label_pixels(mask.where("v > 0"), tile=tile))
-    outer = region_stats(labelled)
-    holes = cut_lineage(holes_of(mask.where("v = 0"), tile))
-    above = holes.selectExpr("image_id", f"region_id div {ROW} - 1 as y", f"region_id % {ROW} as x", "quad as hole_quad")
-    owned = (
-        labelled.where("own")
-        .select("image_id", "y", "x", "region_id")
-        .join(above, ["image_id", "y", "x"])
-        .groupBy("image_id", "region_id")
-        .agg(F.sum("hole_quad").alias("hole_quad"))
+    return region_parts(mask, tile).contours()
+
+
+def contour_tips(parts: RegionParts) -> DataFrame:
+    """First and last point of every contour and its number of border pixels, without walking the contour.
+
+    A walk starts at the first pixel in raster order and ends at the neighbour it would look at first: for an
+    outer border the first set pixel clockwise from the left, for a hole border clockwise from the right.
+    """
+    own = parts.foreground.where("own").select("image_id", "y", "x", "region_id")
+    sides = "explode(array(named_struct('dy', -1, 'dx', 0), named_struct('dy', 1, 'dx', 0), named_struct('dy', 0, 'dx', -1), named_struct('dy', 0, 'dx', 1))) as o"
+    rim = (
+        parts.background.where("own")
+        .selectExpr("image_id", "y", "x", "region_id as air", sides)
+        .selectExpr("image_id", "y + o.dy as y", "x + o.dx as x", "air")
+        .distinct()
+        .join(own, ["image_id", "y", "x"])
     )
-    cols = ["image_id", "region_id", "kind", "x", "y", "w", "h", "n_pixels", "area"]
-    a = outer.join(owned, ["image_id", "region_id"], "left").selectExpr(
-        "image_id", "region_id", "'outer' as kind", "x", "y", "w", "h", "n_pixels",
-        "(quad + coalesce(hole_quad, 0)) / 2 as area",
+    # Air that is not a hole of the region lies outside it.
+    held = parts.holes.selectExpr("image_id", "region_id as air", "owner")
+    marked = rim.join(held, ["image_id", "air"], "left")
+    outer_rim = (
+        marked.where("owner is null or owner <> region_id")
+        .groupBy("image_id", F.col("region_id").alias("contour_id"))
+        .agg(F.countDistinct("y", "x").alias("n_points"))
     )
-    b = holes.selectExpr(
-        "image_id", "region_id", "'hole' as kind", "x - 1 as x", "y - 1 as y", "w + 2 as w", "h + 2 as h",
-        "n_pixels", "quad / 2 as area",
+    hole_rim = marked.where("owner is not null and owner = region_id").groupBy("image_id", F.col("air").alias("contour_id")).agg(
+        F.countDistinct("y", "x").alias("n_points")
+    )
+    outer_start = parts.outer.selectExpr("image_id", "region_id as contour_id", f"region_id div {ROW} as ay", f"region_id % {ROW} as ax")
+    hole_start = parts.holes.selectExpr("image_id", "region_id as contour_id", f"region_id div {ROW} as ay", f"region_id % {ROW} - 1 as ax")
+
+    def last(start: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+        listed = ", ".join(f"named_struct('k', {k}, 'dy', {dy}, 'dx', {dx})" for k, (dy, dx) in enumerate(steps))
+        look = start.selectExpr("*", f"explode(array({listed})) as o").selectExpr(
+            "image_id", "contour_id", "ay", "ax", "o.k as k", "ay + o.dy as y", "ax + o.dx as x"
+        )
+        hit = look.join(own.select("image_id", "y", "x"), ["image_id", "y", "x"])
+        ends = hit.groupBy("image_id", "contour_id").agg(F.min_by(F.struct("x", "y"), "k").alias("b"))
+        return start.join(ends, ["image_id", "contour_id"], "left").selectExpr(
+            "image_id", "contour_id", "ax", "ay", "coalesce(b.x, ax) as bx", "coalesce(b.y, ay) as by"
+        )
+
+    clockwise = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+    from_right = clockwise[4:] + clockwise[:4]
+    tips = last(outer_start, clockwise).join(outer_rim, ["image_id", "contour_id"], "left").unionByName(
+        last(hole_start, from_right).join(hole_rim, ["image_id", "contour_id"], "left")
     )
-    return a.select(*cols).unionByName(b.select(*cols))
+    return tips.selectExpr(
+        "*", "(ax - bx) * (ax - bx) + (ay - by) * (ay - by) as d2"
+    ).na.fill(0, ["n_points"])
 
 
 def filled_regions(mask: DataFrame, min_area: float = 50) -> DataFrame:

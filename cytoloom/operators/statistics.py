@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoloom.functions.geometry import box_area, intersection_area
@@ -102,20 +102,28 @@ def average_precision(predictions: DataFrame, truth: DataFrame, bucket: Column,
         .agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
     )
     total = running_totals(curve, [], "score", bucket, {"n_up": "n", "tp_up": "tp"}, descending=True)
-    n_true = truth.agg(F.count(F.lit(1)).alias("n_true"))
     area = total.agg(
         F.sum(F.col("tp") * (F.col("tp_up") / F.col("n_up"))).alias("area"), F.sum("tp").alias("hits"), F.sum("n").alias("n_pred")
-    )
-    return area.crossJoin(n_true).selectExpr("n_pred", "n_true", "hits", "area / n_true as average_precision")
+    ).withColumn("n_true", zero)
+    n_true = truth.agg(F.count(F.lit(1)).alias("n_true")).selectExpr("0D as area", "0L as hits", "0L as n_pred", "n_true")
+    both = area.unionByName(n_true).agg(*[F.sum(c).alias(c) for c in ("area", "hits", "n_pred", "n_true")])
+    return both.selectExpr("n_pred", "n_true", "hits", "area / n_true as average_precision")
 
 
 def cluster_profile(members: DataFrame, cluster: str, dense: int) -> DataFrame:
-    """Size and share per cluster, and the share of members in clusters of at least ``dense``."""
+    """Size and share per cluster, and the share of members in clusters of at least ``dense``.
+
+    The window runs over one row per cluster.
+    """
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(
-        F.sum("size").alias("total"), F.sum(F.when(F.col("size") >= dense, F.col("size")).otherwise(0)).alias("in_dense")
+    every = Window.partitionBy(F.lit(0))
+    totals = sizes.select(
+        cluster,
+        "size",
+        F.sum("size").over(every).alias("total"),
+        F.sum(F.when(F.col("size") >= dense, F.col("size")).otherwise(0)).over(every).alias("in_dense"),
     )
-    return sizes.crossJoin(total).selectExpr(cluster, "size", "size / total as share", "in_dense / total as dense_share")
+    return totals.selectExpr(cluster, "size", "size / total as share", "in_dense / total as dense_share")
 
 
 def auc_roc(df: DataFrame, score: str, positive: str, bucket: Column) -> DataFrame:
