@@ -75,12 +75,12 @@ def extract_cells(px: DataFrame, sharp: DataFrame, min_area: int = 80, pad: int
     )
 
 
-def baseline_cells(px: DataFrame) -> DataFrame:
-    return extract_cells(px, baseline_map(px))
+def baseline_cells(px: DataFrame, grid: int = 8) -> DataFrame:
+    return extract_cells(px, baseline_map(px, grid=grid))
 
 
-def sharpened_cells(px: DataFrame) -> DataFrame:
-    return extract_cells(px, boundary_map(px))
+def sharpened_cells(px: DataFrame, grid: int = 8) -> DataFrame:
+    return extract_cells(px, boundary_map(px, grid=grid))
 
 
 def border_mask(px: DataFrame) -> DataFrame:

@@ -144,16 +144,27 @@ class Views:
             .agg((F.least(F.lit(9), F.count(F.lit(1))) * 3).alias("hit"))
         )
         axis = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
+        # A handful of supplier rows becomes millions of pixels: spread them before they multiply.
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         grid = (
             self.table("supplier")
-            .select(item("s_suppkey").alias("image_id"), F.explode(axis).alias("y"))
+            .select(item("s_suppkey").alias("image_id"))
+            .repartition(spread, "image_id")
+            .select("image_id", F.explode(axis).alias("y"))
             .withColumn("x", F.explode(axis))
-            .selectExpr("image_id", "y", "x", f"case when {ANY_RING} then 1 else 0 end ring")
+            .selectExpr(
+                "image_id", "y", "x", f"case when {ANY_RING} then 1 else 0 end ring",
+                "150 + (x * 7 + y * 13 + image_id * 3) % 60 ground", "(x * y + image_id) % 20 dip",
+            )
         )
-        return (
-            grid.join(hits, ["image_id", "y", "x"], "left")
-            .selectExpr("image_id", "y", "x", "coalesce(hit, 0L) hit", "ring")
-            .selectExpr(*_split_columns(PIXEL_COLUMNS))
+        # What depends on the grid alone is computed before the join, so that filters on b, g, r stay small.
+        size = [f"{SIDE}L {n}" for n in ("width", "height")]
+        return grid.join(hits, ["image_id", "y", "x"], "left").selectExpr(
+            "image_id", *size, "y", "x",
+            "case when ring = 1 then 220L else ground - coalesce(hit, 0L) end b",
+            "case when ring = 1 then 220L else ground - 4 - coalesce(hit, 0L) end g",
+            "case when ring = 1 then 40L + coalesce(hit, 0L) else ground - dip - coalesce(hit, 0L) end r",
+            "ring",
         )
 
     @cached_property
@@ -186,12 +197,3 @@ class Views:
             "r",
         )
 
-
-def _split_columns(text: str) -> list[str]:
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(text[start:i].strip())
-            start = i + 1
-    return [*parts, text[start:].strip()]
