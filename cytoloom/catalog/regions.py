@@ -51,10 +51,15 @@ def regions_sql(fg: str, bg: str) -> str:
    (select image_id, l, y + dy, x + dx, count(*) n from bl {block} group by all) group by all)
 , ha as (select hs.*, hq.a, fl.l owner from hs join hq using (image_id, l)
    join fl on fl.image_id = hs.image_id and fl.y = hs.l // 2147483648 - 1 and fl.x = hs.l % 2147483648)
-, regions as materialized (select fs.image_id, fs.l region_id, 'outer' kind, fs.x, fs.y, fs.w, fs.h, fs.n n_pixels,
-   cast(fq.a + coalesce((select sum(a) from ha where ha.image_id = fs.image_id and ha.owner = fs.l), 0) as double) area
-   from fs join fq using (image_id, l)
- union all select image_id, l, 'hole', x - 1, y - 1, w + 2, h + 2, n, cast(a as double) from ha)\n"""
+, up as materialized (select image_id, l, owner p from ha union all
+   select fs.image_id, fs.l, bl.l from fs join bl on bl.image_id = fs.image_id and bl.y = fs.l // 2147483648 - 1 and bl.x = fs.l % 2147483648)
+, anc (image_id, l, p) as (select image_id, l, l from fs union select image_id, l, l from ha union
+   select anc.image_id, anc.l, up.p from anc join up on up.image_id = anc.image_id and up.l = anc.p)
+, ar as (select anc.image_id, anc.p, cast(sum(q.a) as double) area from anc join (select * from fq union all select * from hq) q
+   on q.image_id = anc.image_id and q.l = anc.l group by all)
+, regions as materialized (select s.image_id, s.l region_id, s.kind, s.x, s.y, s.w, s.h, s.n n_pixels, ar.area from
+   (select image_id, l, 'outer' kind, x, y, w, h, n from fs union all select image_id, l, 'hole', x - 1, y - 1, w + 2, h + 2, n from ha) s
+   join ar on ar.image_id = s.image_id and ar.p = s.l)\n"""
     )
 
 

@@ -136,18 +136,26 @@ class RegionParts:
     outer: DataFrame  # region_id, x, y, w, h, n_pixels, quad
 
     def contours(self) -> DataFrame:
-        """Outer borders and hole borders with their boxes and contour areas."""
-        held = self.holes.groupBy("image_id", F.col("owner").alias("region_id")).agg(F.sum("quad").alias("hole_quad"))
-        cols = ["image_id", "region_id", "kind", "x", "y", "w", "h", "n_pixels", "area"]
-        a = self.outer.join(held, ["image_id", "region_id"], "left").selectExpr(
-            "image_id", "region_id", "'outer' as kind", "x", "y", "w", "h", "n_pixels",
-            "(quad + coalesce(hole_quad, 0)) / 2 as area",
+        """Outer borders and hole borders with their boxes and contour areas.
+
+        A border encloses its part and every part nested in it, so its area is the sum of their block areas.
+        """
+        quads = self.outer.selectExpr("image_id", "region_id as inner", "quad").unionByName(
+            self.holes.selectExpr("image_id", "region_id as inner", "quad")
+        )
+        areas = (
+            self.enclosure().join(quads, ["image_id", "inner"])
+            .groupBy("image_id", "region_id")
+            .agg((F.sum("quad") / 2).alias("area"))
         )
-        b = self.holes.selectExpr(
-            "image_id", "region_id", "'hole' as kind", "x - 1 as x", "y - 1 as y", "w + 2 as w", "h + 2 as h",
-            "n_pixels", "quad / 2 as area",
+        both = self.outer.selectExpr(
+            "image_id", "region_id", "'outer' as kind", "x", "y", "w", "h", "n_pixels"
+        ).unionByName(
+            self.holes.selectExpr(
+                "image_id", "region_id", "'hole' as kind", "x - 1 as x", "y - 1 as y", "w + 2 as w", "h + 2 as h", "n_pixels"
+            )
         )
-        return a.select(*cols).unionByName(b.select(*cols))
+        return both.join(areas, ["image_id", "region_id"])
 
     def enclosure(self, max_depth: int = 64) -> DataFrame:
         """(image_id, inner, region_id): every part that lies inside a region or hole, itself included."""
@@ -198,7 +206,7 @@ def connected_regions(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Contours of a mask: outer borders and hole borders with box, pixel count and area.
 
     Area is that of the polygon through border pixel centres: full 2 x 2 blocks count 1 and blocks with three
-    pixels 1/2; an outer border also encloses its holes. A hole border runs through the pixels around the hole.
+    pixels 1/2. A hole border runs through the pixels around the hole.
     """
     return region_parts(mask, tile).contours()
 
