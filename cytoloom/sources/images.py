@@ -57,8 +57,9 @@ def read_images(spark: SparkSession, folder: str, skip_unreadable: bool = True)
     flat = images.select("image.*").withColumn("image_id", F.regexp_extract("origin", r"([^/]+)$", 1))
     if skip_unreadable:
         return flat
-    broken = F.col("nChannels") < 1
-    return flat.withColumn("data", F.when(broken, F.raise_error(F.concat(F.lit("unreadable image "), "origin"))).otherwise(F.col("data")))
+    # Guard the height: every use of an image's pixels needs it, so the check cannot be pruned away.
+    broken = F.raise_error(F.concat(F.lit("unreadable image "), F.col("origin"))).cast("int")
+    return flat.withColumn("height", F.when(F.col("nChannels") < 1, broken).otherwise(F.col("height")))
 
 
 def pixel_scan(images: DataFrame) -> DataFrame:
