@@ -9,6 +9,7 @@ from cytoloom.functions.geometry import padded, touches_border
 from cytoloom.functions.naming import extension, numbered
 from cytoloom.operators import boxes as B
 from cytoloom.operators import reports as R
+from cytoloom.session import cut_lineage
 from cytoloom.sources.views import SLIDE_H, SLIDE_W, with_views
 
 GATE_SQL = (
@@ -62,8 +63,8 @@ def gated(v, low: int = 80):
 
 
 def kept(v):
-    """Gate, composite filter, duplicate filter."""
-    return B.duplicate_subset(B.non_composite(gated(v)))
+    """Gate, composite filter, duplicate filter; single boxes are read by both sides of the last step."""
+    return B.duplicate_subset(cut_lineage(B.non_composite(gated(v))))
 
 
 def legacy(v):

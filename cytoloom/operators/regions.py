@@ -128,7 +128,7 @@ def region_stats(labelled: DataFrame) -> DataFrame:
 
 @dataclass
 class RegionParts:
-    """Labelled pixels and region tables of one mask, all materialised."""
+    """Labelled pixels and region tables of one mask; what is slow to redo is already materialised."""
 
     foreground: DataFrame  # image_id, y, x, own, quad, region_id
     background: DataFrame
@@ -190,8 +190,8 @@ def region_parts(mask: DataFrame, tile: int = TILE) -> RegionParts:
 
     A hole belongs to the region of the pixel above its first pixel.
     """
-    foreground = cut_lineage(label_pixels(mask.where("v > 0"), tile=tile))
-    background = cut_lineage(label_pixels(mask.where("v = 0"), diagonal=False, holes=True, tile=tile))
+    foreground = label_pixels(mask.where("v > 0"), tile=tile)
+    background = label_pixels(mask.where("v = 0"), diagonal=False, holes=True, tile=tile)
     size = mask.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     enclosed = region_stats(background).join(size, "image_id").where(
         "x > 0 and y > 0 and x + w < width and y + h < height"
@@ -267,7 +267,7 @@ def filled_regions(mask: DataFrame, min_area: float = 50) -> DataFrame:
 
 def keep_target(mask: DataFrame, anchors: DataFrame) -> DataFrame:
     """Pixels of the regions that hold an anchor pixel (image_id, y, x); everything else is debris."""
-    labelled = cut_lineage(label_pixels(mask).where("own"))
+    labelled = label_pixels(mask).where("own")
     wanted = labelled.join(anchors.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
     return labelled.join(wanted.select("image_id", "region_id").distinct(), ["image_id", "region_id"], "left_semi").select(
         "image_id", "region_id", "y", "x"
@@ -278,7 +278,6 @@ def hysteresis(edges: DataFrame) -> DataFrame:
     """Weak edge pixels stay only in regions that hold a strong one (column edge: 1 weak, 2 strong)."""
     marked = cut_lineage(edges.where("edge > 0").select("image_id", "y", "x", "edge"))
     labelled = label_pixels(marked).where("own").select("image_id", "y", "x", "region_id")
-    labelled = cut_lineage(labelled)
     strong = (
         labelled.join(marked.where("edge = 2").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
         .select("image_id", "region_id")
