@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cytoloom.catalog.registry import query
+from cytoloom.catalog.registry import greedy_sql, query
 from cytoloom.functions.geometry import padded, touches_border
 from cytoloom.functions.naming import extension, numbered
 from cytoloom.operators import boxes as B
@@ -230,8 +230,18 @@ def _iomin(v):
     return B.iomin_dedup(v.boxes)
 
 
-# A box is kept iff no kept box of higher rank overlaps it, walked one rank at a time per image.
-@query("seam_nms")
+NMS_SQL = (
+    with_views("boxes", recursive=True)
+    + f""", sh as materialized (select image_id, x, y, w, h, max(area) area, arg_max(j, (area, -j)) j from boxes group by all)
+, it as materialized (select (image_id, j) id, * from sh)
+, cf as materialized (select a.id win, b.id lose from it a join it b on a.image_id = b.image_id and {MEET}
+  and (a.area > b.area or (a.area = b.area and a.j < b.j)) and {INTER} > 0.5 * (a.w * a.h + b.w * b.h - {INTER}))\n"""
+    + greedy_sql("it", "cf")
+    + "select image_id, j, x, y, w, h, area from it join settled using (id) where s = 1"
+)
+
+
+@query("seam_nms", NMS_SQL)
 def _nms(v):
     return B.seam_nms(v.boxes).select("image_id", "j", "x", "y", "w", "h", "area")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytoloom.catalog.regions import ENDS, PTS
-from cytoloom.catalog.registry import query
+from cytoloom.catalog.registry import greedy_sql, query
 from cytoloom.operators import contours as T
 from cytoloom.operators import graph as G
 from cytoloom.sources.views import with_views
@@ -43,7 +43,18 @@ def _pairs(v):
     return G.location_pairs(tips(v), 30)
 
 
-@query("greedy_endpoint_match")
+MATCH_SQL = (
+    OPEN.replace("with ", "with recursive ", 1)
+    + f""", it as materialized (select (a.node, b.node) id, a.image_id, a.node i, b.node j, {D2} d2 from tips a join tips b
+  on a.image_id = b.image_id and a.node < b.node and {D2} <= 900)
+, cf as materialized (select a.id win, b.id lose from it a join it b on a.image_id = b.image_id
+  and (a.i = b.i or a.i = b.j or a.j = b.i or a.j = b.j) and (a.d2, a.i, a.j) < (b.d2, b.i, b.j))\n"""
+    + greedy_sql("it", "cf")
+    + "select image_id, i, j, d2 from it join settled using (id) where s = 1"
+)
+
+
+@query("greedy_endpoint_match", MATCH_SQL)
 def _match(v):
     return G.greedy_match(tips(v), 30)
 

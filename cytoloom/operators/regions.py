@@ -94,9 +94,10 @@ def label_pixels(mask: DataFrame, diagonal: bool = True, holes: bool = False, ti
     placed = (
         mask.select("image_id", "y", "x").selectExpr("*", f"{tiles('y')} as ty").selectExpr("*", f"{tiles('x')} as tx")
     )
-    local = cut_lineage(
-        placed.groupBy("image_id", "ty", "tx").applyInPandas(_tile_labels(tile, diagonal, holes), _LABELLED)
-    )
+    # A fixed number of tasks: few bytes per tile must not fold the Python work into one task.
+    tasks = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = placed.repartition(tasks, "image_id", "ty", "tx").groupBy("image_id", "ty", "tx")
+    local = cut_lineage(tiled.applyInPandas(_tile_labels(tile, diagonal, holes), _LABELLED))
     shared = local.where("not own").select("image_id", "y", "x", F.col("local").alias("u"))
     owner = local.where(f"own and (y % {tile} = 0 or x % {tile} = 0)").select(
         "image_id", "y", "x", F.col("local").alias("v")
