@@ -33,10 +33,12 @@ def softmax(scores: str) -> Column:
 def most_uncertain(df: DataFrame, key: str, share: float = 0.05) -> DataFrame:
     """Rows with ``flagged`` = among the top share by uncertainty (ties: lower key).
 
-    Ranks come from bucket counts, so the whole table is never sorted in one task.
+    Ranks come from bucket counts, and rows of equal uncertainty are cut by key, so neither the whole table nor
+    a large tie is sorted in one task.
     """
     ranked = positions(
-        df, [], [F.col("uncertainty").desc(), F.col(key)], F.floor(F.col("uncertainty") * 65536), "rank", descending=True
+        df, [], [F.col("uncertainty").desc(), F.col(key)], -F.floor(F.col("uncertainty") * 65536), "rank",
+        fine=F.struct(-F.col("uncertainty"), F.floor(F.col(key) / 65536)),
     )
     n = df.count()
     limit = -(-n * round(share * 10000) // 10000)

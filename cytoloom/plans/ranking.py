@@ -25,26 +25,35 @@ def positions(
     order: Sequence[Column],
     bucket: Column,
     name: str = "position",
-    descending: bool = False,
+    fine: Column | None = None,
 ) -> DataFrame:
     """1-based row numbers of ``order`` within ``keys``.
 
-    ``bucket`` must be a non-null value that never falls along ``order`` (never rises if ``descending``).
+    ``bucket`` must be a non-null value that never falls along ``order``. Where many rows can share a bucket
+    (copies with equal sort values), ``fine`` cuts it further; it must never fall along ``order`` within a bucket.
     """
     cols = df.columns
     df, scope = _scoped(df, keys)
-    df = df.withColumn("_bucket", bucket)
-    along = F.col("_bucket").desc() if descending else F.col("_bucket")
-    earlier = Window.partitionBy(*scope).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*scope, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*scope, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    df = df.withColumn("_bucket", bucket).withColumn("_fine", F.lit(0) if fine is None else fine)
+    before = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(*before)
+    level = [*scope, "_bucket"] if fine is None else [*scope, "_bucket", "_fine"]
+    sizes = df.groupBy(*level).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0)
+    coarse = (
+        sizes.groupBy(*scope, "_bucket")
+        .agg(F.sum("_n").alias("_n"))
+        .select(*scope, "_bucket", F.coalesce(F.sum("_n").over(earlier), zero).alias("_before"))
     )
-    inside = Window.partitionBy(*scope, "_bucket").orderBy(*order)
+    if fine is None:
+        offsets = coarse
+    else:
+        within = Window.partitionBy(*scope, "_bucket").orderBy("_fine").rowsBetween(*before)
+        inner = sizes.select(*level, F.coalesce(F.sum("_n").over(within), zero).alias("_inner"))
+        offsets = inner.join(coarse, [*scope, "_bucket"]).select(*level, (F.col("_before") + F.col("_inner")).alias("_before"))
     return (
-        df.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*scope, "_bucket"])
+        df.withColumn("_rank", F.row_number().over(Window.partitionBy(*level).orderBy(*order)))
+        .join(offsets, level)
         .select(*cols, (F.col("_rank") + F.col("_before")).cast("long").alias(name))
     )
 

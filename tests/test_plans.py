@@ -17,7 +17,10 @@ def test_positions_equal_a_plain_row_number(spark):
     pdf = pd.DataFrame(rows, columns=["id", "k", "v"]).sort_values(["v", "id"])
     pdf["p"] = pdf.groupby("k").cumcount() + 1
     assert dict(zip(out.id, out.p)) == dict(zip(pdf.id, pdf.p))
-    down = positions(df, [], [F.col("v").desc(), F.col("id")], F.floor(F.col("v") / 100), "p", descending=True).toPandas()
+    down = positions(
+        df, [], [F.col("v").desc(), F.col("id")], -F.floor(F.col("v") / 100), "p",
+        fine=F.struct(-F.col("v"), F.floor(F.col("id") / 500)),
+    ).toPandas()
     want = pd.DataFrame(rows, columns=["id", "k", "v"]).sort_values(["v", "id"], ascending=[False, True])
     assert list(down.sort_values("p").id) == list(want.id)
 
