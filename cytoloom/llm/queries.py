@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import mixing, sharding, urls
+from cytoloom.llm import decontam, licenses, mixing, sharding, sql, urls
 from cytoloom.llm.tables import table
 
 
@@ -17,6 +17,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs.select("doc_id", "text"), items).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.per_document(mixing.plan_mix(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
@@ -27,5 +39,5 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_mixing, op6_urls)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op5_mixing, op6_urls)}
+CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}
