@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import decontam, licenses, mixing, sharding, sql, urls
+from cytoloom.llm import decontam, licenses, mixing, ngram_join, sharding, sql, urls
 from cytoloom.llm.tables import table
 
 
@@ -29,6 +29,11 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.link_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.per_document(mixing.plan_mix(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
@@ -39,5 +44,5 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op5_mixing, op6_urls)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls)}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}

@@ -65,4 +65,20 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n_hit using (r) left join items using (r)"""
 
-CHECKS = {"op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
+OP4 = rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) as w from documents),
+sh as (
+  select distinct r, array_to_string(list_slice(w, i, i + 3), ' ') as s
+  from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) u(i) where len(w) > 0),
+n as (select r, count(*) as n from sh group by r),
+common as (select a.r as a, b.r as b, count(*) as k from sh a join sh b on a.s = b.s and a.r < b.r group by all),
+link as (
+  select a, b from common join n x on x.r = a join n y on y.r = b where 100 * k >= 85 * (x.n + y.n - k)),
+edge as (select a, b from link union all select b, a from link),
+reach (r, o) as (select a, a from edge union select reach.r, edge.b from reach join edge on edge.a = reach.o),
+least as (select reach.r, min(d.doc_id) as o from reach join d on d.r = reach.o group by reach.r)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(o, doc_id) as component_id
+from d left join n using (r) left join least using (r)"""
+
+CHECKS = {"op4_ngram_join": OP4, "op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
