@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import decontam, licenses, mixing, ngram_join, sharding, sql, urls
+from cytoloom.llm import decontam, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, urls
 from cytoloom.llm.tables import table
 
 
@@ -44,5 +44,14 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    return rows.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op10_suffix_dedup)}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}
