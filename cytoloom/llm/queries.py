@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import decontam, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, urls
+from cytoloom.llm import decontam, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls
 from cytoloom.llm.tables import table
 
 
@@ -44,6 +44,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id"), 4, 2))
     model = language.learn(docs.where("not held_out").where("doc_id is not null"))
@@ -60,5 +65,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op8_language, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op10_suffix_dedup)}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}

@@ -81,4 +81,16 @@ least as (select reach.r, min(d.doc_id) as o from reach join d on d.r = reach.o
 select doc_id, coalesce(n, 0) as n_shingles, coalesce(o, doc_id) as component_id
 from d left join n using (r) left join least using (r)"""
 
-CHECKS = {"op4_ngram_join": OP4, "op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
+OP7 = """
+with e as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, d.vec_id,
+   cast(list_dot_product(cast(q.v as double[]), cast(d.v as double[])) as bigint) as score
+  from e q join e d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
+
+CHECKS = {"op7_topk": OP7, "op4_ngram_join": OP4, "op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
