@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import decontam, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls
+from cytoloom.llm import decontam, katz, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls
 from cytoloom.llm.tables import table
 
 
@@ -56,6 +56,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 5, 1)
+    rows, words = katz.score_texts(docs, ~out & F.col("doc_id").isNotNull())
+    return rows.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
@@ -65,5 +75,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op9_katz, op10_suffix_dedup)}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}

@@ -156,7 +156,7 @@ def _contexts(length: int):
     return run
 
 
-def _gathered(batches, rows: int = 8192):
+def gathered(batches, rows: int = 8192):
     """Joins small record batches to larger ones."""
     held, n = [], 0
     for batch in batches:
@@ -217,7 +217,7 @@ def _repeats(length: int):
                     ["doc", "text_hash", "first", "end"],
                 )
 
-    return lambda batches: run(_gathered(batches))
+    return lambda batches: run(gathered(batches))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
