@@ -150,5 +150,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     """``docs`` without the rows that repeat any window of the benchmark."""
     keys = contaminated_spans(docs, benchmark, window).select("doc_id", "text_hash").distinct()
     keys = stored(keys.toDF("_id", "_hash"), "contaminated-keys")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_hash"])
     return docs.join(keys, same, "left_anti")

@@ -39,8 +39,8 @@ LARGE = 16
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """``sized(source, size)`` -> ``(source, source_no, source_size, weight, target)``, one row per source."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """``sized(source, mass)`` -> ``(source, source_no, source_size, weight, target)``, one row per source."""
+    sums = sized.groupBy("source").agg(F.sum("mass").alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.array(*[F.lit(float(w)) for w in weights])[F.pmod(F.col("source_no"), F.lit(len(weights)))]
     sums = stored(
@@ -282,12 +282,12 @@ def mix(docs: DataFrame, seed: int = 17, **settings) -> DataFrame:
     """
     plan = plan_mix(docs, seed=seed, **settings).where("copies > 0")
     plan = plan.select("doc_id", "text_hash", "source", "shards").toDF("_id", "_hash", "_source", "_shards")
+    kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (_identity() == F.col("_hash"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-    )
-    taken = docs.join(plan, same).select(*[docs[c] for c in docs.columns], "_shards")
-    return taken.select("*", F.posexplode("_shards").alias("_copy", "mix_shard")).select(
-        *docs.columns, "mix_shard", F.xxhash64(F.lit(seed + 1), "doc_id", "text", "_copy").alias("mix_order")
+        docs["doc_id"].eqNullSafe(plan["_id"])
+        & (F.xxhash64(docs["doc_id"], docs["text"]) == plan["_hash"])
+        & docs["source"].eqNullSafe(plan["_source"])
     )
+    taken = docs.join(plan, same).select(*[docs[c] for c in kept], F.posexplode(plan["_shards"]).alias("__copy", "mix_shard"))
+    order = F.xxhash64(F.lit(seed + 1), "doc_id", "text", "__copy")
+    return taken.select(*kept, "mix_shard", order.alias("mix_order"))

@@ -272,12 +272,10 @@ def without_repeats(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame
     spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans.hint("merge")
     columns = [c for c in docs.columns if c not in ("removed", "kept")]
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    marked = docs.join(spans, (id_ == spans["_doc"]) & (F.xxhash64(docs["text"]) == spans["_hash"]), "left")
+    marked = marked.select(*[docs[c] for c in columns], spans["_spans"].alias("__spans"))
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    marked = docs.join(
-        spans,
-        (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")),
-        "left",
-    )
 
     def rest(held):
         def add(a, x):
@@ -288,6 +286,6 @@ def without_repeats(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame
         end = F.struct(F.octet_length(held["text"]).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))
         return F.aggregate(F.array_append(held["spans"], end), start, add, lambda a: a["kept"])
 
-    pair = F.struct(data.alias("text"), F.col("_spans").alias("spans"))
-    kept = F.when(F.col("_spans").isNull(), data).otherwise(F.transform(F.array(pair), rest)[0])
-    return marked.select(*columns, F.coalesce("_spans", none).alias("removed"), kept.alias("kept"))
+    pair = F.struct(data.alias("text"), F.col("__spans").alias("spans"))
+    kept = F.when(F.col("__spans").isNull(), data).otherwise(F.transform(F.array(pair), rest)[0])
+    return marked.select(*columns, F.coalesce("__spans", none).alias("removed"), kept.alias("kept"))

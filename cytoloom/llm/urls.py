@@ -74,8 +74,8 @@ def _features(df: DataFrame, into: str) -> DataFrame:
         )
 
     cut = F.transform(F.array(F.split(shown, "")), grams)[0]
-    tf = HashingTF(numFeatures=BUCKETS, inputCol="_grams", outputCol=into)
-    return tf.transform(df.withColumn("_grams", cut)).drop("_grams")
+    tf = HashingTF(numFeatures=BUCKETS, inputCol="__grams", outputCol=into)
+    return tf.transform(df.withColumn("__grams", cut)).drop("__grams")
 
 
 def train_url_model(spark: SparkSession, labelled: DataFrame | None = None) -> LogisticRegressionModel:
@@ -85,21 +85,21 @@ def train_url_model(spark: SparkSession, labelled: DataFrame | None = None) -> L
         labelled = spark.sql(f"select * from values {values} as t(url, unwanted)")
     host, path = split_url(F.col("url"))
     seen = labelled.select(host.alias("host"), path.alias("path"), F.col("unwanted").cast("double").alias("label"))
-    fit = LogisticRegression(featuresCol="_x", labelCol="label", regParam=0.02, maxIter=60)
-    return fit.fit(_features(seen, "_x").coalesce(1))
+    fit = LogisticRegression(featuresCol="__x", labelCol="label", regParam=0.02, maxIter=60)
+    return fit.fit(_features(seen, "__x").coalesce(1))
 
 
 def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Adds ``host, path, rule, verdict, unwanted`` (the model's probability) to ``pages(url, ...)``."""
     host, path = split_url(F.col("url"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "unwanted", "_x")]
-    df = _features(pages.select(*kept).withColumn("host", host).withColumn("path", path), "_x")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "unwanted", "__x")]
+    df = _features(pages.select(*kept).withColumn("host", host).withColumn("path", path), "__x")
     # Only the features are given to the model, so no column of the caller can clash with its outputs.
-    model = model.copy().setFeaturesCol("_x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
+    model = model.copy().setFeaturesCol("__x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__p")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     return (
         model.transform(df)
-        .withColumn("unwanted", vector_to_array("_p")[1])
+        .withColumn("unwanted", vector_to_array("__p")[1])
         .withColumn("rule", rule)
         .withColumn(
             "verdict", F.coalesce(says, F.when(F.col("unwanted") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
