@@ -104,10 +104,18 @@ def _reconnect(v):
     )
 
 
+# Projections on two fixed vectors of +1 and -1 over all 64 values, in whole numbers.
+PROJECT = (
+    "cast(floor(list_sum([(1 - 2 * ({sign})) * cast(floor(cast(embedding[i] as double) * 1000) as bigint) for i in range(1, 65)]) / 8.0) as bigint)"
+)
+PROJECTION = (
+    "floor(aggregate(sequence(1, 64), 0L, (s, i) -> s + (1 - 2 * ({sign})) * floor(cast(element_at(embedding, i) as double) * 1000)) / 8d) as {name}"
+)
+
+
 @query(
     "density_clusters",
-    f"""with recursive p as materialized (select vec_id node, cast(floor(cast(embedding[1] as double) * 1000) as bigint) x,
-  cast(floor(cast(embedding[2] as double) * 1000) as bigint) y from embeddings)
+    f"""with recursive p as materialized (select vec_id node, {PROJECT.format(sign="i % 2")} x, {PROJECT.format(sign="i // 2 % 2")} y from embeddings)
 , near as materialized (select a.node a, b.node b from p a join p b on {D2} <= 1600)
 , core as materialized (select a node from near group by a having count(*) >= 8)
 , cn as materialized (select a, b from near semi join core on a = core.node where b in (select node from core))
@@ -118,6 +126,6 @@ select node, case when count(*) over (partition by cluster) >= 10 then cluster e
 )
 def _density(v):
     points = v.table("embeddings").selectExpr(
-        "vec_id as node", "floor(cast(embedding[0] as double) * 1000) as x", "floor(cast(embedding[1] as double) * 1000) as y"
+        "vec_id as node", PROJECTION.format(sign="i % 2", name="x"), PROJECTION.format(sign="i div 2 % 2", name="y")
     )
     return G.density_clusters(points, eps=40, min_points=8, min_size=10)

@@ -16,14 +16,18 @@ from cytoloom.streaming import label_sync as X
 
 CELLS = with_views("cells")
 
-UNCERTAIN = """with e as (select vec_id, label, [exp(cast(v as double)) for v in embedding[1:5]] w from embeddings)
+UNCERTAIN = """with e as (select vec_id, label, [exp(list_sum([cast(embedding[i] as double) for i in range(k, 65, 5)])) for k in range(1, 6)] w from embeddings)
 , u as materialized (select vec_id, label, round(-list_sum([(p / list_sum(w)) * ln(p / list_sum(w)) for p in w]), 9) uncertainty from e)
 , ranked as materialized (select *, row_number() over (order by uncertainty desc, vec_id) "rank" from u)
 , flags as materialized (select *, "rank" <= (select ceil(0.05 * count(*)) from u) flagged from ranked)\n"""
 
 
+# Five class scores; each adds up every fifth value, so all values count.
+SCORES = """transform(sequence(1, 5), k -> aggregate(sequence(k, 64, 5), 0d, (s, i) -> s + element_at(embedding, i))) as scores"""
+
+
 def uncertain(v):
-    probs = v.table("embeddings").selectExpr("vec_id", "label", "transform(slice(embedding, 1, 5), e -> cast(e as double)) as scores")
+    probs = v.table("embeddings").selectExpr("vec_id", "label", SCORES)
     probs = probs.withColumn("probs", L.softmax("scores"))
     return probs.select("vec_id", "label", F.round(L.entropy("probs"), 9).alias("uncertainty"))
 

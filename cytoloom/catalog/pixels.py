@@ -8,7 +8,7 @@ from cytoloom.catalog.registry import query
 from cytoloom.functions import color as C
 from cytoloom.operators import pixels as P
 from cytoloom.operators import stain as S
-from cytoloom.operators.cells import cell_pixels, homogeneity
+from cytoloom.operators.cells import cell_pixels, colored_images, homogeneity
 from cytoloom.sources.views import with_views
 
 PX = with_views("px")
@@ -159,17 +159,20 @@ def _canvas(v):
 @query(
     "homogeneity",
     CELLS_PX
-    + f""", i as (select *, {C.HSV_H} h, {C.HSV_S} s, {C.HSV_V} v, {C.gray()} gray from inside where {IN_DISC})
+    + f""", i as (select *, {C.HSV_H} h, {C.HSV_S} s, {C.HSV_V} v, {C.gray()} gray from (select * replace ({MUTED_R} as r) from inside) where {IN_DISC})
 , f as (select *, {NON_WHITE} nw, {NON_WHITE} and not ({C.in_cyan_range()}) core from i)
-, a as (select image_id, cell_id, count(*) filter (core) n_core, count(*) filter (nw) n_nw,
+, seen as (select image_id, max({C.cyan()}) > 0 colored from (select * replace ({MUTED_R} as r) from px) group by all)
+, a as (select image_id, cell_id, any_value(colored) colored, count(*) n_all, stddev_pop(gray) s_all, min(gray) m_all, count(*) filter (core) n_core, count(*) filter (nw) n_nw,
   stddev_pop(gray) filter (core) s_core, stddev_pop(gray) filter (nw) s_nw, min(gray) filter (core) m_core, min(gray) filter (nw) m_nw
-  from f group by all)
-select image_id, cell_id, case when n_core > 0 then n_core else n_nw end n_px,
-  round(case when n_core > 0 then s_core else s_nw end, 6) std, case when n_core > 0 then m_core else m_nw end low,
-  not coalesce(case when n_core > 0 then s_core < 25 and m_core > 130 else s_nw < 25 and m_nw > 130 end, false) keep from a""",
+  from f join seen using (image_id) group by image_id, cell_id)
+, b as (select image_id, cell_id, case when not colored then n_all when n_core > 0 then n_core else n_nw end n_px,
+  case when not colored then s_all when n_core > 0 then s_core else s_nw end s, case when not colored then m_all when n_core > 0 then m_core else m_nw end low
+  from a)
+select image_id, cell_id, n_px, round(s, 6) std, low, not coalesce(s < 25 and low > 130, false) keep from b""",
 )
 def _homogeneity(v):
-    flat = homogeneity(cell_pixels(v.px, v.px_cells).where("in_mask"), max_std=25, min_level=130)
+    px = v.px.withColumn("r", F.expr(MUTED_R))
+    flat = homogeneity(cell_pixels(px, v.px_cells).where("in_mask"), colored_images(px), max_std=25, min_level=130)
     return flat.select("image_id", "cell_id", "n_px", F.round("std", 6).alias("std"), "low", "keep")
 
 

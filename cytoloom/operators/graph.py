@@ -30,11 +30,11 @@ def location_pairs(points: DataFrame, radius: int) -> DataFrame:
     return apart.unionByName(same)
 
 
-def greedy_match(points: DataFrame, radius: int = 30, max_rounds: int = 500) -> DataFrame:
+def greedy_match(points: DataFrame, radius: int = 30) -> DataFrame:
     """Pairs taken by (distance, i, j), each node at most once, as rounds of locally smallest pairs.
 
     Nodes at one location pair up consecutively (all their distances are 0 and come first); at most one node
-    per location is left for the rounds. A pair is taken when it is the smallest left at both of its ends.
+    per location is left for the rounds. A pair is taken when it is the smallest left at both of its ends; the smallest of all always is, so the rounds end.
     """
     spot = ["image_id", "x", "y"]
     ranked = positions(points.select(*spot, "node"), spot, [F.col("node")], F.floor(F.col("node") / 65536), "k")
@@ -47,7 +47,7 @@ def greedy_match(points: DataFrame, radius: int = 30, max_rounds: int = 500) ->
         "image_id", "a_node as i", "b_node as j", "d2"
     )
     pairs = cut_lineage(pairs)
-    for _ in range(max_rounds):
+    while True:
         best = F.min(F.struct("d2", "i", "j"))
         ends = pairs.selectExpr("image_id", "i as node", "d2", "i", "j").unionByName(
             pairs.selectExpr("image_id", "j as node", "d2", "i", "j")
@@ -61,8 +61,6 @@ def greedy_match(points: DataFrame, radius: int = 30, max_rounds: int = 500) ->
         used = taken.selectExpr("image_id", "explode(array(i, j)) as node")
         pairs = pairs.join(used.withColumnRenamed("node", "i"), ["image_id", "i"], "left_anti")
         pairs = cut_lineage(pairs.join(used.withColumnRenamed("node", "j"), ["image_id", "j"], "left_anti"))
-    else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
     out = matched[0]
     for part in matched[1:]:
         out = out.unionByName(part)
@@ -70,7 +68,7 @@ def greedy_match(points: DataFrame, radius: int = 30, max_rounds: int = 500) ->
 
 
 def pixel_radius(micrometres: float, um_per_px: float) -> int:
-    return int(micrometres / um_per_px)
+    return int(micrometres / um_per_px + 1e-9)
 
 
 def proximity_edges(nodes: DataFrame, radius: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,7 @@ def most_uncertain(df: DataFrame, key: str, share: float = 0.05) -> DataFrame:
         df, [], [F.col("uncertainty").desc(), F.col(key)], -F.floor(F.col("uncertainty") * 65536), "rank",
         fine=F.struct(-F.col("uncertainty"), F.floor(F.col(key) / 65536)),
     )
-    n = df.count()
-    limit = -(-n * round(share * 10000) // 10000)
+    limit = math.ceil(Decimal(str(share)) * df.count())
     return ranked.withColumn("flagged", F.col("rank") <= limit)
 
 

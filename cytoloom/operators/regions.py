@@ -158,7 +158,7 @@ class RegionParts:
         )
         return both.join(areas, ["image_id", "region_id"])
 
-    def enclosure(self, max_depth: int = 64) -> DataFrame:
+    def enclosure(self) -> DataFrame:
         """(image_id, inner, region_id): every part that lies inside a region or hole, itself included."""
         top = self.outer.selectExpr("image_id", "region_id as inner", f"region_id div {ROW} - 1 as y", f"region_id % {ROW} as x")
         around = self.background.where("own").select("image_id", "y", "x", "region_id")
@@ -171,15 +171,13 @@ class RegionParts:
         every = self.outer.select("image_id", "region_id").unionByName(self.holes.select("image_id", "region_id"))
         found = [every.selectExpr("image_id", "region_id as inner", "region_id")]
         level = up.selectExpr("image_id", "inner", "parent as region_id")
-        for _ in range(max_depth):
+        while True:  # parents start earlier, so levels run out
             level = cut_lineage(level)
             if level.isEmpty():
                 break
             found.append(level)
             step = up.selectExpr("image_id", "inner as region_id", "parent")
             level = level.join(step, ["image_id", "region_id"]).selectExpr("image_id", "inner", "parent as region_id")
-        else:
-            raise RuntimeError(f"regions nest deeper than {max_depth}")
         out = found[0]
         for part in found[1:]:
             out = out.unionByName(part)

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from cytoloom.session import cut_lineage
 
 
+#: Edges that a task holds at once before the rounds.
+HELD_EDGES = 2_000_000
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -60,21 +64,29 @@ def lowest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _stars_per_partition(batches):
-    """Replace the edges of one partition by (vertex, lowest vertex linked to it here)."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    edges = pd.concat(frames, ignore_index=True)
+    """Replace edges, a bounded number at a time, by (vertex, lowest vertex linked to it among them)."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= HELD_EDGES:
+            yield _stars(pd.concat(held, ignore_index=True))
+            held, rows = [], 0
+    if rows:
+        yield _stars(pd.concat(held, ignore_index=True))
+
+
+def _stars(edges: pd.DataFrame) -> pd.DataFrame:
     ends = pd.concat([edges[["key", "u"]], edges[["key", "v"]].rename(columns={"v": "u"})], ignore_index=True)
     code = ends.groupby(["key", "u"], sort=True).ngroup().to_numpy()
     half = len(edges)
     vertices = ends.iloc[np.unique(code, return_index=True)[1]].reset_index(drop=True)
     root = lowest_linked(len(vertices), code[:half], code[half:])
     stars = vertices.assign(v=vertices["u"].to_numpy()[root])
-    yield stars[stars["u"] != stars["v"]]
+    return stars[stars["u"] != stars["v"]]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(key, u, v)`` -> ``(key, u, root)`` for every vertex that is not its component's lowest id.
 
     ``key`` scopes vertex ids (an image id); vertices without edges, and roots, do not appear.
@@ -87,12 +99,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     seen = _fingerprint(edges)
     if seen[0]:
-        for _ in range(max_rounds):
+        while True:
             edges = cut_lineage(_small_star(_large_star(edges)))
             now = _fingerprint(edges)
             if now == seen:
                 break
             seen = now
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select("key", "u", F.col("v").alias("root"))

@@ -16,7 +16,7 @@ from cytoloom.operators import histograms as H
 from cytoloom.operators import pixels as P
 from cytoloom.operators import regions as R
 from cytoloom.operators import stencils as N
-from cytoloom.operators.cells import homogeneity
+from cytoloom.operators.cells import colored_images, homogeneity
 from cytoloom.session import cut_lineage
 
 FRAME = ["image_id", "width", "height", "y", "x"]
@@ -65,7 +65,7 @@ def extract_cells(px: DataFrame, sharp: DataFrame, min_area: int = 80, pad: int
         .select("image_id", "y", "x", F.col("region_id").alias("inner"))
     )
     member = labelled.join(inside, ["image_id", "inner"]).select("image_id", "y", "x", F.col("region_id").alias("cell_id"))
-    flat = homogeneity(px.join(member, ["image_id", "y", "x"]), max_std, min_level).where("not keep")
+    flat = homogeneity(px.join(member, ["image_id", "y", "x"]), colored_images(px), max_std, min_level).where("not keep")
     kept = merged.join(flat.selectExpr("image_id", "cell_id as j"), ["image_id", "j"], "left_anti")
     named = B.name_cells(kept).join(size, "image_id")
     return named.selectExpr(
@@ -86,7 +86,7 @@ def sharpened_cells(px: DataFrame, grid: int = 8) -> DataFrame:
 def border_mask(px: DataFrame) -> DataFrame:
     """Cyan border map of a whole slide: HSV range, then 5 x 5 closing."""
     tiles = N.halo_tiles(P.cyan_mask(px).select(*FRAME, "mask"), N.close_halo("ellipse5"))
-    return N.own_pixels(N.morph_close(tiles, "mask", "v")).select(*FRAME, "v")
+    return N.own_pixels(N.morph_close(tiles, "mask", "v", "ellipse5")).select(*FRAME, "v")
 
 
 def close_borders(borders: DataFrame, max_gap: int = 30, min_points: int = 10) -> dict[str, DataFrame]:

@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete one folder in whatever file system the path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_by_image(
-    df: DataFrame, path: str, by: Sequence[str] = ("image_id",), spread: Sequence[str] = (), max_rows: int = 5_000_000
+    df: DataFrame,
+    path: str,
+    by: Sequence[str] = ("image_id",),
+    spread: Sequence[str] = (),
+    max_rows: int = 5_000_000,
+    images: DataFrame | None = None,
 ) -> None:
-    """Write partitioned by image, replacing only the images in ``df``.
+    """Write partitioned by image, replacing only the images in ``df`` and, if given, all of ``images(image_id)``.
+
+    ``images`` are those that were processed: one that has no row any more is cleared. Its id must be the only partition column.
 
     Rows are rebalanced on the image (and ``spread`` columns), so small images share a task, a huge image is
     split over several tasks and files, and no folder gets a sliver from every task.
     """
+    if images is not None:
+        emptied = images.select("image_id").distinct().join(df.select("image_id").distinct(), "image_id", "left_anti")
+        for row in emptied.toLocalIterator():
+            _remove(df.sparkSession, f"{path}/image_id={row['image_id']}")
     (
         df.hint("rebalance", *by, *spread)
         .write.mode("overwrite")

@@ -72,7 +72,7 @@ SQL_VIEWS: dict[str, str] = {
     "cells": CELLS,
     "files": FILES,
     "hits": f"""select l_suppkey image_id, (l_partkey * 13 + l_orderkey * 3) % {SIDE} y,
-  (l_orderkey * 7 + l_linenumber * 131) % {SIDE} x, cast(least(9, count(*)) * 3 as bigint) hit
+  (l_orderkey * 7 + l_linenumber * 131) % {SIDE} x, cast(count(*) % 10 * 3 as bigint) hit
 from lineitem group by all""",
     "px": f"""select {PIXEL_COLUMNS} from (
   select g.image_id, g.y, g.x, coalesce(hit, 0) hit, case when {ANY_RING.replace('image_id', 'g.image_id')
@@ -141,7 +141,7 @@ class Views:
                 ((item("l_orderkey") * 7 + item("l_linenumber") * 131) % SIDE).alias("x"),
             )
             .groupBy("image_id", "y", "x")
-            .agg((F.least(F.lit(9), F.count(F.lit(1))) * 3).alias("hit"))
+            .agg((F.count(F.lit(1)) % 10 * 3).alias("hit"))
         )
         axis = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
         # A handful of supplier rows becomes millions of pixels: spread them before they multiply.
