@@ -41,6 +41,9 @@ from cytoloom.session import scratch_path
 K = 5
 #: What larger counts keep.
 LARGE = 0.9999
+#: Codes of frequent words stay below 2**CODE_BITS; salted contexts are dealt to SALTS places.
+CODE_BITS = 40
+SALTS = 1 << 12
 #: Codes of the start mark and the end token; words have codes from 2 on, or negative hashes.
 START, END = 0, 1
 
@@ -157,8 +160,11 @@ def _own_sums(shared):
     return run
 
 
-def _pairs(shared, salted: int, slots: int):
-    """(text, train, number) -> (slot, u, w, text, n); ``text`` packs the number and the training flag."""
+def _pairs(shared, salted: int):
+    """(text, train, number) -> (dealt, w, text, n).
+
+    ``dealt`` is the context, and for salted ones a salt from the word above ``CODE_BITS``; ``text`` packs the number and the training flag.
+    """
 
     def run(batches):
         known, words = WordHashes(), shared.value
@@ -175,23 +181,23 @@ def _pairs(shared, salted: int, slots: int):
             first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])][: len(u)])
             n = np.diff(np.r_[first, len(u)])
             u, w, doc = u[first], w[first], doc[first]
-            dealt = np.where((u >= 0) & (u < salted), u * 1_000_003 + w * 998_244_353, u * 1_000_003)
+            salt = ((w * np.int64(0x9E3779B97F4A7C1)) >> np.int64(40)) & np.int64(SALTS - 1)
+            dealt = np.where((u >= 0) & (u < salted), u | (salt << CODE_BITS), u)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(((dealt ^ (dealt >> 17)) % slots).astype(np.int32)),
-                    pa.array(u),
+                    pa.array(dealt),
                     pa.array(w),
                     pa.array((number[doc] << 1) | train[doc].astype(np.int64)),
                     pa.array(n.astype(np.int32)),
                 ],
-                ["slot", "u", "w", "text", "n"],
+                ["dealt", "w", "text", "n"],
             )
 
     return run
 
 
 def _settle(shared):
-    """Sorted (u, w, text, n, c, c_u) -> the kinds of rows (see the module's text)."""
+    """Sorted (dealt, w, text, n, c, c_u) -> the kinds of rows (see the module's text)."""
 
     def rows(kind, id_, other, s, r):
         m = len(id_)
@@ -205,6 +211,7 @@ def _settle(shared):
         log_p = np.log10(words.probability(words.counts))
         for batch in gathered(batches, 1_000_000):
             u, w, text, n, c, c_u = (batch.column(i).to_numpy() for i in range(6))
+            u = np.where(u >= 0, u & ((1 << CODE_BITS) - 1), u)
             number, coded = text >> 1, w >= 0
             c_u = np.where(u >= 0, words.counts[np.maximum(u, 0)], c_u)
             seen = c > 0
@@ -247,15 +254,14 @@ def score_texts(docs: DataFrame, train, frequent: int = 1_000_000, salted: int =
     shared = spark.sparkContext.broadcast(words)
     own = docs.select("doc_id", number.alias("number"))
     own_sums = texts.mapInArrow(_own_sums(shared), "number long, n_tokens long, n_known long, base_score double, score double")
-    slots = 1 << 20
-    pairs = texts.mapInArrow(_pairs(shared, salted, slots), "slot int, u long, w long, text long, n int").repartition("slot")
+    pairs = texts.mapInArrow(_pairs(shared, salted), "dealt long, w long, text long, n int").repartition("dealt")
     use = F.when(F.col("text").bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(0).cast("long")
-    pairs = pairs.withColumn("c", F.sum(use).over(Window.partitionBy("slot", "u", "w"))).withColumn(
-        "c_u", F.sum(use).over(Window.partitionBy("slot", "u"))
+    pairs = pairs.withColumn("c", F.sum(use).over(Window.partitionBy("dealt", "w"))).withColumn(
+        "c_u", F.sum(use).over(Window.partitionBy("dealt"))
     )
     levels = ", ".join(f"r{i} long" for i in range(1, K + 2))
     path = scratch_path(spark, "katz-parts")
-    settled = pairs.select("u", "w", "text", "n", "c", "c_u").sortWithinPartitions("u", "w").mapInArrow(_settle(shared), f"kind int, id long, other long, s double, {levels}")
+    settled = pairs.select("dealt", "w", "text", "n", "c", "c_u").sortWithinPartitions("dealt", "w").mapInArrow(_settle(shared), f"kind int, id long, other long, s double, {levels}")
     settled.write.partitionBy("kind").parquet(path)
     parts = spark.read.schema(f"id long, other long, s double, {levels}, kind int").parquet(path)
     part = lambda kind: parts.where(F.col("kind") == kind)
