@@ -32,7 +32,12 @@ HEADLINE = [
     "map_at_50",
     "label_sync_stream",
     "baseline_extraction",
+    "canny",
+    "crop_silhouette",
+    "density_clusters",
 ]
+#: Run once before the clock starts, so that no query carries the start of the JVM.
+WARM_UP = "gray_signal"
 
 
 def main() -> None:
@@ -42,6 +47,7 @@ def main() -> None:
     spark = build_session("bench", cores)
     queries = catalog.queries()
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    queries[WARM_UP](spark, sf_dir).write.format("noop").mode("overwrite").save()
     spent: dict[str, float] = {}
     for name in names:
         start = time.time()
