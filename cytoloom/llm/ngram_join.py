@@ -7,8 +7,8 @@ text is one shingle; no words, no set). Two sets link when ``intersection * 100
 sketches is at most the size of the symmetric difference. With p = percent, sets of sizes a <= b that link have b <= 100a/p
 and differ in at most d(a, b) = (100 - p)(a + b)/(100 + p) shingles.
 
-*Size bands.* A band covers sizes from lo to 1.5 lo. A set sketches itself for its own band and, if its largest partner is in the next
-one, for that band too; the band of the larger set is where a pair meets.
+*Size bands.* A band covers sizes from lo to 1.2 lo. A set sketches itself for its own band and, if its largest partner is in a following
+one, for those bands too; the band of the larger set is where a pair meets.
 
 *Pigeonhole.* A band's sketch is cut into chunks of 64 bits, more chunks than differences. A chunk with fewer than three set bits says
 little and is shared by chance, so a set emits its first d + 1 chunks *with* three bits (d: its largest possible difference in
@@ -16,10 +16,16 @@ the band), or all chunks if it has fewer such. No link is lost: let c be the fir
 two linked sets agree on. Before c, all such chunks of either set are among the at most d chunks that differ, so both emit c. c exists as soon as one of the two
 has d + 1 such chunks; if neither has, both emit everything, and some chunk must agree.
 
-*Candidates.* The rows (chunk key, text) of a key form a bucket. First every member is paired with the bucket's smallest member only, which is
-linear. Pairs are verified with the real sets and linked texts are joined to components. Buckets that still span
-several components go on in rounds: 64 further members are paired with those members that are in other components, until
-nothing is left. So a large group of near copies costs about one pair per member, and no link between components is missed.
+*Filter.* Each text also has one sketch of 2 to 4 bits per shingle, a power of two in all. Of two such sketches the longer is folded (xor of its halves) to
+the length of the other; a candidate pair whose Hamming distance exceeds d(a, b), or whose sizes are too different, cannot link and is dropped
+before any text is read again.
+
+*Candidates.* The rows (chunk key, text) of a key form a bucket. In buckets of at most 64 members all pairs are formed and counted; those that share
+two such buckets are candidates. A linked pair that does not share two small buckets shares a large one. In a large bucket every
+member is first paired with the smallest member only, which is linear; linked texts are joined to components. Large buckets that still span several components
+are cut into blocks. Tasks compare the sketches of two blocks in memory and give only pairs from different components that the sketches allow: first the
+three closest per member and component, and, after joining components again, all that are left. So a large group of near copies costs about one pair per member, no
+link between components is missed, and no task holds more than two blocks.
 
 Equal texts are one vertex (a 64-bit text hash); in each task a text that was seen before emits no chunks again.
 
@@ -29,7 +35,8 @@ id while another id is there; repeated rows share their component; an empty tabl
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +50,14 @@ from cytoloom.plans.components import connected_components
 
 #: Set bits from which a chunk is worth a key.
 BITS = 3
-#: Members of a bucket that are paired with its other members in one round.
-PIVOTS = 64
+#: Emitted chunks that two linked sets share at least.
+SHARED = 2
+#: Members of a bucket whose pairs are formed as rows; larger buckets are compared in memory.
+SMALL = 64
+#: Members of a block, about.
+BLOCK = 1024
+#: Longest sketch, in 64-bit words, that is compared in memory; longer ones are folded.
+FOLDED = 32
 
 _MULTIPLIERS = np.random.default_rng(20240611).integers(1, 2**63, size=16, dtype=np.uint64) | np.uint64(1)
 _SHIFT = np.uint64(32)
@@ -80,11 +93,12 @@ def shingle_set(text: bytes | None, n: int, known: WordHashes) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+@lru_cache(maxsize=1 << 16)
 def _band_of(size: int) -> tuple[int, int]:
     """Number and largest size of the band of a size."""
     lo, k = 1, 0
     while True:
-        following = max(lo + 1, -(-3 * lo // 2))
+        following = max(lo + 1, -(-6 * lo // 5))
         if size < following:
             return k, following - 1
         lo, k = following, k + 1
@@ -97,19 +111,20 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
         return items
     largest = 100 * a // percent
     (first, _), (last, _) = _band_of(a), _band_of(largest)
-    out = []
+    out, hi = [], 0
     for k in range(first, last + 1):
-        hi = _band_of(a)[1] if k == first else _band_of(largest)[1]
+        hi = _band_of(max(a, hi + 1))[1]
         most = (100 - percent) * (a + min(hi, largest)) // (100 + percent)
-        chunks = int(1.25 * ((100 - percent) * 2 * hi // (100 + percent) + 1)) + 3
+        chunks = int(1.15 * ((100 - percent) * 2 * hi // (100 + percent) + SHARED)) + 1
         # The chunk comes from the high bits, so sorted items are grouped by chunk already.
         chunk = ((items >> _SHIFT) * np.uint64(chunks)) >> _SHIFT
         start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (items & np.uint64(63)), start)
         index = chunk[start]
         telling = np.flatnonzero(np.bitwise_count(bits) >= BITS)
-        if len(telling) > most:
-            bits, index = bits[telling[: most + 1]], index[telling[: most + 1]]
+        if len(telling) >= most + SHARED:
+            telling = telling[: most + SHARED]
+            bits, index = bits[telling], index[telling]
         else:
             every = np.zeros(chunks, np.uint64)
             every[index.astype(np.int64)] = bits
@@ -118,11 +133,27 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_sketch(items: np.ndarray) -> np.ndarray:
+    """One bit per hash value modulo a power of two from 2 len(items) on: set where an odd number of items fall."""
+    bits = max(64, 1 << (2 * max(1, len(items)) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two sketches after folding the longer one."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sketcher(n: int, percent: int):
     def run(batches):
         known, seen = WordHashes(), {}
         for batch in batches:
-            sizes, lengths, keys = [], [0], []
+            sizes, lengths, keys, bits = [], [0], [], []
             for text_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 size = seen.get(text_id)
                 if size is None:
@@ -131,8 +162,10 @@ def _sketcher(n: int, percent: int):
                         seen.clear()
                     seen[text_id] = size = len(items)
                     keys.append(chunk_keys(items, percent))
+                    bits.append(parity_sketch(items).tobytes() if size else None)
                     lengths.append(lengths[-1] + len(keys[-1]))
                 else:
+                    bits.append(None)
                     lengths.append(lengths[-1])
                 sizes.append(size)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -142,8 +175,9 @@ def _sketcher(n: int, percent: int):
                     batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat.view(np.int64))),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "text_id", "n_shingles", "keys"],
+                ["doc_id", "text_id", "n_shingles", "keys", "sketch"],
             )
 
     return run
@@ -167,16 +201,93 @@ def _verifier(n: int, percent: int):
     return run
 
 
+def _near(percent: int):
+    """Drops pairs that their sizes or sketches rule out."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b, s_a, s_b = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(n_a, n_b, strict=True)):
+                if percent * max(a, b) <= 100 * min(a, b):
+                    most = (100 - percent) * (a + b) // (100 + percent)
+                    keep[i] = hamming(np.frombuffer(s_a[i], np.uint64), np.frombuffer(s_b[i], np.uint64)) <= most
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _units(batches):
+    """Rows of each unit (columns 0 to 2, sorted), one record batch per unit; only the unit at the end of a batch is held."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        whole = [x for x in (held, batch) if x is not None]
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+        key = np.stack([table.column(i).to_numpy() for i in range(3)])
+        edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *edge.tolist(), table.num_rows]
+        if batch is not None:
+            held = table.slice(bounds[-2])
+            bounds.pop()
+        for lo, hi in itertools.pairwise(bounds):
+            yield table.slice(lo, hi - lo)
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) > words else x
+
+
+def _crossing(percent: int, closest: int | None):
+    """Units of (key, i, j, text_id, comp, n, sketch) -> pairs of different components that sizes and sketches allow."""
+
+    def run(batches):
+        for unit in _units(batches):
+            text, comp, n = (unit.column(i).to_numpy() for i in (3, 4, 5))
+            sketches = unit.column(6).to_pylist()
+            words = min(FOLDED, *(len(x) // 8 for x in sketches))
+            bits = np.stack([_folded(x, words) for x in sketches])
+            out = []
+            for at in range(0, len(text), 64):
+                part = slice(at, at + 64)
+                away = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = n[part, None] + n[None, :]
+                fits = (comp[part, None] != comp[None, :]) & (away <= (100 - percent) * both // (100 + percent))
+                fits &= percent * np.maximum(n[part, None], n[None, :]) <= 100 * np.minimum(n[part, None], n[None, :])
+                row, col = np.nonzero(fits)
+                if closest is not None and len(row):
+                    order = np.lexsort((away[row, col], comp[col], row))
+                    row, col = row[order], col[order]
+                    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (comp[col][1:] != comp[col][:-1])])
+                    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.r_[head, len(row)]))
+                    row, col = row[rank < closest], col[rank < closest]
+                one, two = text[row + at], text[col]
+                out.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` (text ids) that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+def _linked(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` (text ids) that link; ``vertices(text_id, n_shingles, sketch)``."""
+    both = pairs.join(vertices.toDF("b", "n_b", "sketch_b"), "b").join(vertices.toDF("a", "n_a", "sketch_a"), "a")
+    both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    near = stored(both.mapInArrow(_near(percent), "a long, b long"), "join-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
     texts = _identified(docs).join(wanted, F.col("text_id") == F.col("wanted"), "left_semi")
     texts = stored(texts.groupBy("text_id").agg(F.first("text").alias("text")), "join-texts")
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    both = near.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, percent), "a long, b long")
 
 
@@ -192,39 +303,47 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """
     sketches = stored(
         _identified(docs).mapInArrow(
-            _sketcher(n, percent), "doc_id long, text_id long, n_shingles long, keys array<long>"
+            _sketcher(n, percent), "doc_id long, text_id long, n_shingles long, keys array<long>, sketch binary"
         ),
         "join-sketches",
     )
+    vertices = sketches.where("sketch is not null").groupBy("text_id").agg(
+        F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+    )
+    vertices = stored(vertices, "join-vertices")
     bucket = Window.partitionBy("key")
     members = (
         sketches.select("text_id", F.explode("keys").alias("key"))
         .withColumn("pivot", F.min("text_id").over(bucket))
         .withColumn("top", F.max("text_id").over(bucket))
+        .withColumn("m", F.count(F.lit(1)).over(bucket))
         .where("pivot < top")
         .drop("top")
     )
     members = stored(members, "join-buckets").distinct()
-    pairs = stored(members.where("text_id <> pivot").select(F.col("pivot").alias("a"), F.col("text_id").alias("b")).distinct(), "join-pairs")
-    links = [stored(_linked(docs, pairs, n, percent), "join-links")]
+    small = members.where(F.col("m") <= SMALL).select("key", "text_id")
+    large = members.where(F.col("m") > SMALL)
+    both = small.withColumnRenamed("text_id", "a").join(small.withColumnRenamed("text_id", "b"), "key").where("a < b")
+    often = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
+    star = large.where("text_id <> pivot").select(F.col("pivot").alias("a"), F.col("text_id").alias("b"))
+    pairs = stored(often.unionByName(star).distinct(), "join-pairs")
+    links = [stored(_linked(docs, vertices, pairs, n, percent), "join-links")]
     comps = stored(_components(links), "join-components")
-    left = members.where("text_id <> pivot").select("key", "text_id")
-    while True:
-        named = left.join(comps, "text_id", "left").withColumn("comp", F.coalesce("comp", "text_id"))
-        spans = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("text_id"))
-        open_ = stored(named.join(spans, "key", "left_semi"), "join-open")
-        if open_.isEmpty():
+    for closest in (3, None):
+        named = large.select("key", "text_id").join(comps, "text_id", "left").withColumn("comp", F.coalesce("comp", "text_id"))
+        spans = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
+        spans = spans.where("c0 < c1").select("key", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)").alias("blocks"))
+        large = stored(named.join(spans, "key").select("key", "text_id", "comp", "blocks"), "join-open")
+        if large.isEmpty():
             break
-        pivots = stored(open_.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank"), "join-pivots")
-        crossing = pivots.toDF("key", "p", "p_comp").join(open_, "key").where("p_comp <> comp")
-        more = crossing.select(F.least("p", "text_id").alias("a"), F.greatest("p", "text_id").alias("b")).distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "join-pairs")
-        pairs = pairs.unionByName(more)
-        links.append(stored(_linked(docs, more, n, percent), "join-links"))
+        own = F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int")
+        unit = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        unit = unit.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_id", "comp")
+        unit = unit.join(vertices, "text_id").select("key", "i", "j", "text_id", "comp", "n_shingles", "sketch")
+        crossing = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(percent, closest), "a long, b long")
+        more = stored(crossing.distinct(), "join-crossing")
+        links.append(stored(_linked(docs, vertices, more, n, percent), "join-links"))
         comps = stored(_components(links), "join-components")
-        done = pivots.select("key", "text_id")
-        left = stored(open_.select("key", "text_id").join(done, ["key", "text_id"], "left_anti"), "join-left")
     rows = sketches.select("doc_id", "text_id", "n_shingles").join(comps, "text_id", "left")
     rows = stored(rows.withColumn("comp", F.coalesce("comp", "text_id")), "join-rows")
     least = stored(rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "join-least")
@@ -239,7 +358,7 @@ def one_of_each_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     best = rows.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "text_id")).alias("best"))
     kept = best.select("best.*").unionByName(rows.where("n_shingles = 0").select("doc_id", "text_id").distinct())
     kept = stored(kept.toDF("_id", "_text"), "join-kept")
-    marked = docs.withColumn("_text_id", F.xxhash64("text")).withColumn("_doc_id", F.col("doc_id").cast("long"))
-    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_id") == F.col("_text"))
-    copy = F.row_number().over(Window.partitionBy("_doc_id", "_text_id").orderBy(F.lit(0)))
-    return marked.join(kept, same, "left_semi").withColumn("_copy", copy).where("_copy = 1").drop("_copy", "_text_id", "_doc_id")
+    marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
+    same = marked["__id"].eqNullSafe(kept["_id"]) & (marked["__text"] == kept["_text"])
+    copy = F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))
+    return marked.join(kept, same, "left_semi").withColumn("__copy", copy).where("__copy = 1").drop("__copy", "__text", "__id")

@@ -209,7 +209,8 @@ def test_ngram_join(docs, nothing, n, percent):
 
 def test_ngram_join_large_groups(spark, monkeypatch):
     """A hub of near copies and strays, with buckets far over the size that is paired at once."""
-    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     rng = random.Random(3)
     rows = []
     for g in range(3):
@@ -220,13 +221,6 @@ def test_ngram_join_large_groups(spark, monkeypatch):
                 own[rng.randrange(120)] = f"x{rng.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(own)))
     sets = [{tuple(t.split()[k : k + 4]) for k in range(117)} for _, t in rows]
-    comp = list(range(len(rows)))
-    for _ in rows:
-        for i, j in itertools.combinations(range(len(rows)), 2):
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 85 * len(sets[i] | sets[j]):
-                comp[i] = comp[j] = min(comp[i], comp[j])
-        break
     changed = True
     links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     comp = list(range(len(rows)))
