@@ -13,7 +13,7 @@ are put in order only as far as that needs:
 4. *Order.* The refined buckets are sorted by identifier with documents rising; a string counts in every document but the first.
    A task reads its buckets in order and holds the identifiers of one q-gram bucket at a time (16 bytes each).
 
-Whole copies are settled by one small aggregate over (text hash, size), and a task gives no suffixes of a text it has seen with a smaller id.
+Whole copies of an earlier document are settled first, by one small aggregate over (text hash, size), and give no suffixes.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a doc_id are one document, so none of them
 removes bytes of another; a null doc_id counts as larger than all; kept bytes need not be whole characters; an empty table gives no rows.
@@ -86,7 +86,6 @@ def _suffixes(length: int, q: int):
     """(doc, text_hash, text) -> (gram, doc, at); ``at`` packs place, window range and 16 bits of the text hash."""
 
     def run(batches):
-        seen: dict[tuple, int] = {}
         for batch in batches:
             grams, docs, ats = [], [], []
 
@@ -105,12 +104,6 @@ def _suffixes(length: int, q: int):
             for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None or len(text) < length:
                     continue
-                key = (text_hash, len(text))
-                if seen.get(key, NO_ID + 1) <= doc:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen[key] = doc
                 at, gram, far, near = kept_suffixes(np.frombuffer(text, np.uint8), length, q)
                 grams.append((gram >> np.uint64(16)).astype(np.int64))
                 docs.append(doc)
@@ -220,6 +213,11 @@ def _repeats(length: int):
     return lambda batches: run(gathered(batches))
 
 
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast if the measured size allows it, else both sides are shuffled."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
@@ -231,6 +229,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
     """``(doc, text_hash, spans)`` for documents that lose bytes; ``spans`` are disjoint, rising (first, end)."""
     keyed = _keyed(docs)
+    # Whole copies of an earlier document.
+    whole = keyed.select("doc", "text_hash", F.octet_length("text").cast("long").alias("end")).where(F.col("end") >= length)
+    least = whole.groupBy("text_hash", "end").agg(F.min("doc").alias("least")).toDF("_hash", "_end", "least")
+    copies = whole.join(least, (F.col("text_hash") == F.col("_hash")) & (F.col("end") == F.col("_end")) & (F.col("doc") > F.col("least")))
+    copies = stored(copies.select("doc", "text_hash", F.lit(0).cast("long").alias("first"), "end"), "suffix-copies")
+    known = _bounded(copies.select("doc", "text_hash").distinct(), 16 * copies.count())
+    keyed = keyed.join(known, ["doc", "text_hash"], "left_anti")
     suffixes = keyed.select("doc", "text_hash", "text").mapInArrow(_suffixes(length, q), "gram long, doc long, at long")
     bucket = Window.partitionBy("gram")
     shared = suffixes.withColumn("lo", F.min("doc").over(bucket)).withColumn("hi", F.max("doc").over(bucket)).where("lo < hi")
@@ -246,11 +251,6 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
     spans = near.repartition("gram").sortWithinPartitions("gram", "doc").mapInArrow(
         _repeats(length), "doc long, text_hash long, first long, end long"
     )
-    # Whole copies of an earlier document.
-    whole = keyed.select("doc", "text_hash", F.octet_length("text").cast("long").alias("end")).where(F.col("end") >= length)
-    copies = whole.groupBy("text_hash", "end").agg(F.min("doc").alias("least")).toDF("_hash", "_end", "least")
-    copies = whole.join(copies, (F.col("text_hash") == F.col("_hash")) & (F.col("end") == F.col("_end")) & (F.col("doc") > F.col("least")))
-    copies = copies.select("doc", "text_hash", F.lit(0).cast("long").alias("first"), "end")
     every = F.sort_array(F.collect_list(F.struct("first", "end")))
 
     def join(done, x):
@@ -269,7 +269,7 @@ def without_repeats(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame
     """All columns of ``docs``, and ``removed`` (disjoint byte spans first, end) and ``kept`` (the other bytes)."""
     spans = stored(repeated_spans(docs, length, q), "suffix-spans").toDF("_doc", "_hash", "_spans")
     size = spans.agg(F.sum(16 * F.size("_spans") + 32)).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans.hint("merge")
+    spans = _bounded(spans, size)
     columns = [c for c in docs.columns if c not in ("removed", "kept")]
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")
     id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
