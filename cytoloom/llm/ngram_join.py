@@ -16,7 +16,7 @@ the band), or all chunks if it has fewer such. No link is lost: let c be the fir
 two linked sets agree on. Before c, all such chunks of either set are among the at most d chunks that differ, so both emit c. c exists as soon as one of the two
 has d + 1 such chunks; if neither has, both emit everything, and some chunk must agree.
 
-*Filter.* Each text also has one sketch of 2 to 4 bits per shingle, a power of two in all. Of two such sketches the longer is folded (xor of its halves) to
+*Filter.* Each text also has one sketch of 1 to 2 bits per shingle, a power of two in all. Of two such sketches the longer is folded (xor of its halves) to
 the length of the other; a candidate pair whose Hamming distance exceeds d(a, b), or whose sizes are too different, cannot link and is dropped
 before any text is read again.
 
@@ -24,7 +24,7 @@ before any text is read again.
 two such buckets are candidates. A linked pair that does not share two small buckets shares a large one. In a large bucket every
 member is first paired with the smallest member only, which is linear; linked texts are joined to components. Large buckets that still span several components
 are cut into blocks. Tasks compare the sketches of two blocks in memory and give only pairs from different components that the sketches allow: first the
-three closest per member and component, and, after joining components again, all that are left. So a large group of near copies costs about one pair per member, no
+three closest per bucket and pair of components, and, after joining components again, all that are left. So a large group of near copies costs about one pair per member, no
 link between components is missed, and no task holds more than two blocks.
 
 Equal texts are one vertex (a 64-bit text hash); in each task a text that was seen before emits no chunks again.
@@ -134,8 +134,8 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_sketch(items: np.ndarray) -> np.ndarray:
-    """One bit per hash value modulo a power of two from 2 len(items) on: set where an odd number of items fall."""
-    bits = max(64, 1 << (2 * max(1, len(items)) - 1).bit_length())
+    """One bit per hash value modulo a power of two from len(items) on: set where an odd number of items fall."""
+    bits = max(64, 1 << (max(1, len(items)) - 1).bit_length())
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -243,6 +243,16 @@ def _folded(sketch: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) > words else x
 
 
+def _closest(found: np.ndarray, n: int | None) -> np.ndarray:
+    """Of columns (a, b, component, component, distance) the ``n`` closest per pair of components; all, if n is None."""
+    if n is None or not found.shape[1]:
+        return found
+    found = found[:, np.lexsort((found[1], found[0], found[4], found[3], found[2]))]
+    head = np.flatnonzero(np.r_[True, (found[2:4, 1:] != found[2:4, :-1]).any(axis=0)])
+    rank = np.arange(found.shape[1]) - np.repeat(head, np.diff(np.r_[head, found.shape[1]]))
+    return found[:, rank < n]
+
+
 def _crossing(percent: int, closest: int | None):
     """Units of (key, i, j, text_id, comp, n, sketch) -> pairs of different components that sizes and sketches allow."""
 
@@ -260,15 +270,10 @@ def _crossing(percent: int, closest: int | None):
                 fits = (comp[part, None] != comp[None, :]) & (away <= (100 - percent) * both // (100 + percent))
                 fits &= percent * np.maximum(n[part, None], n[None, :]) <= 100 * np.minimum(n[part, None], n[None, :])
                 row, col = np.nonzero(fits)
-                if closest is not None and len(row):
-                    order = np.lexsort((away[row, col], comp[col], row))
-                    row, col = row[order], col[order]
-                    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (comp[col][1:] != comp[col][:-1])])
-                    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.r_[head, len(row)]))
-                    row, col = row[rank < closest], col[rank < closest]
-                one, two = text[row + at], text[col]
-                out.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+                one, two = comp[row + at], comp[col]
+                out.append(_closest(np.stack([text[row + at], text[col], np.minimum(one, two), np.maximum(one, two), away[row, col]]), closest))
+            found = _closest(np.concatenate(out, axis=1), closest)[:2]
+            pairs = np.unique(np.sort(found, axis=0), axis=1)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
