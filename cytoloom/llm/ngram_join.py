@@ -10,11 +10,11 @@ and differ in at most d(a, b) = (100 - p)(a + b)/(100 + p) shingles.
 *Size bands.* A band covers sizes from lo to 1.2 lo. A set sketches itself for its own band and, if its largest partner is in a following
 one, for those bands too; the band of the larger set is where a pair meets.
 
-*Pigeonhole.* A band's sketch is cut into chunks of 64 bits, more chunks than differences. A chunk with fewer than three set bits says
-little and is shared by chance, so a set emits its first d + 1 chunks *with* three bits (d: its largest possible difference in
-the band), or all chunks if it has fewer such. No link is lost: let c be the first chunk with three bits that
-two linked sets agree on. Before c, all such chunks of either set are among the at most d chunks that differ, so both emit c. c exists as soon as one of the two
-has d + 1 such chunks; if neither has, both emit everything, and some chunk must agree.
+*Pigeonhole.* A band's sketch is cut into chunks of 64 bits, more chunks than differences. A chunk with fewer than two set bits says
+little and is shared by chance, so a set emits its first d + 2 chunks *with* two bits (d: its largest possible difference in
+the band), or all chunks if it has fewer such. Then linked sets share at least two emitted chunks: let c be the second chunk with two bits that the
+two agree on. Before c, all other such chunks of either set are among the at most d chunks that differ, so both emit c and the one before it. c exists as
+soon as one of the two has d + 2 such chunks; if neither has, both emit everything, and two chunks must agree.
 
 *Filter.* Each text also has one sketch of 1 to 2 bits per shingle, a power of two in all. Of two such sketches the longer is folded (xor of its halves) to
 the length of the other; a candidate pair whose Hamming distance exceeds d(a, b), or whose sizes are too different, cannot link and is dropped
@@ -49,7 +49,7 @@ from cytoloom.llm.tables import stored
 from cytoloom.plans.components import connected_components
 
 #: Set bits from which a chunk is worth a key.
-BITS = 3
+BITS = 2
 #: Emitted chunks that two linked sets share at least.
 SHARED = 2
 #: Members of a bucket whose pairs are formed as rows; larger buckets are compared in memory.
@@ -115,7 +115,7 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
     for k in range(first, last + 1):
         hi = _band_of(max(a, hi + 1))[1]
         most = (100 - percent) * (a + min(hi, largest)) // (100 + percent)
-        chunks = int(1.15 * ((100 - percent) * 2 * hi // (100 + percent) + SHARED)) + 1
+        chunks = int(1.25 * ((100 - percent) * 2 * hi // (100 + percent) + SHARED)) + 1
         # The chunk comes from the high bits, so sorted items are grouped by chunk already.
         chunk = ((items >> _SHIFT) * np.uint64(chunks)) >> _SHIFT
         start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
