@@ -110,7 +110,9 @@ def test_enclosure_follows_nesting(spark, masks):
 def test_flat_bright_patch_is_dropped_and_empty_interior_kept(spark):
     rows = [(1, 1, 0, x, 230, 230, 230) for x in range(9)] + [(1, 2, 0, x, 250, 250, 250) for x in range(9)]
     inside = spark.createDataFrame(rows, "image_id long, cell_id long, y long, x long, b long, g long, r long")
-    assert {r.cell_id: r.keep for r in homogeneity(inside).collect()} == {1: False, 2: True}
+    for colored, second in ((True, True), (False, False)):  # without any cyan in the image white pixels count as well
+        images = spark.createDataFrame([(1, colored)], "image_id long, colored boolean")
+        assert {r.cell_id: r.keep for r in homogeneity(inside, images).collect()} == {1: False, 2: second}
 
 
 def points_of(spark, shapes):
