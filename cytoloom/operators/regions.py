@@ -210,32 +210,50 @@ def connected_regions(mask: DataFrame, tile: int = TILE) -> DataFrame:
     return region_parts(mask, tile).contours()
 
 
+def _air_runs() -> str:
+    """Runs of background around a pixel, from ``near``: bit k is set if the k-th neighbour clockwise from the left is set.
+
+    A run counts if it holds one of the four direct neighbours, and is named by the first of those.
+    """
+    first = [
+        f"case when near & {1 << k} = 0 and near & {1 << (k + 7) % 8 | 1 << (k + 6) % 8} <> 0 then {k} end" for k in (0, 2, 4, 6)
+    ]
+    return f"case when near = 0 then array(0) else filter(array({', '.join(first)}), k -> k is not null) end"
+
+
+CLOCKWISE = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+
+
 def contour_tips(parts: RegionParts) -> DataFrame:
-    """First and last point of every contour and its number of border pixels, without walking the contour.
+    """First and last point of every contour and the length of its walk, without walking the contour.
 
     A walk starts at the first pixel in raster order and ends at the neighbour it would look at first: for an
-    outer border the first set pixel clockwise from the left, for a hole border clockwise from the right.
+    outer border the first set pixel clockwise from the left, for a hole border clockwise from the right. It comes to a
+    pixel once for each run of background around it; what lies outside of the image is background.
     """
     own = parts.foreground.where("own").select("image_id", "y", "x", "region_id")
-    sides = "explode(array(named_struct('dy', -1, 'dx', 0), named_struct('dy', 1, 'dx', 0), named_struct('dy', 0, 'dx', -1), named_struct('dy', 0, 'dx', 1))) as o"
-    rim = (
-        parts.background.where("own")
-        .selectExpr("image_id", "y", "x", "region_id as air", sides)
-        .selectExpr("image_id", "y + o.dy as y", "x + o.dx as x", "air")
-        .distinct()
-        .join(own, ["image_id", "y", "x"])
+    # Each pixel tells its neighbours where it is: seen from there, in the opposite direction.
+    tell = ", ".join(f"named_struct('dy', {-dy}, 'dx', {-dx}, 'bit', {1 << k})" for k, (dy, dx) in enumerate(CLOCKWISE))
+    near = (
+        own.selectExpr("image_id", "y", "x", f"explode(array({tell})) as o")
+        .selectExpr("image_id", "y + o.dy as y", "x + o.dx as x", "o.bit as bit")
+        .groupBy("image_id", "y", "x")
+        .agg(F.bit_or("bit").alias("near"))
     )
-    # Air that is not a hole of the region lies outside it.
-    held = parts.holes.selectExpr("image_id", "region_id as air", "owner")
-    marked = rim.join(held, ["image_id", "air"], "left")
-    outer_rim = (
-        marked.where("owner is null or owner <> region_id")
-        .groupBy("image_id", F.col("region_id").alias("contour_id"))
-        .agg(F.countDistinct("y", "x").alias("n_points"))
-    )
-    hole_rim = marked.where("owner is not null and owner = region_id").groupBy("image_id", F.col("air").alias("contour_id")).agg(
-        F.countDistinct("y", "x").alias("n_points")
+    dy, dx = (", ".join(str(step[i]) for step in CLOCKWISE) for i in (0, 1))
+    runs = (
+        own.join(near, ["image_id", "y", "x"], "left")
+        .na.fill(0, ["near"])
+        .selectExpr("image_id", "region_id", "y", "x", f"explode({_air_runs()}) as k")
+        .selectExpr("image_id", "region_id", f"y + array({dy})[k] as y", f"x + array({dx})[k] as x")
     )
+    air = parts.background.where("own").selectExpr("image_id", "y", "x", "region_id as air")
+    # Air that is not a hole of the region lies outside it, and so does what is outside of the image.
+    held = parts.holes.selectExpr("image_id", "region_id as air", "owner")
+    marked = runs.join(air, ["image_id", "y", "x"], "left").join(held, ["image_id", "air"], "left")
+    count = F.count(F.lit(1)).alias("n_points")
+    outer_rim = marked.where("owner is null or owner <> region_id").groupBy("image_id", F.col("region_id").alias("contour_id")).agg(count)
+    hole_rim = marked.where("owner = region_id").groupBy("image_id", F.col("air").alias("contour_id")).agg(count)
     outer_start = parts.outer.selectExpr("image_id", "region_id as contour_id", f"region_id div {ROW} as ay", f"region_id % {ROW} as ax")
     hole_start = parts.holes.selectExpr("image_id", "region_id as contour_id", f"region_id div {ROW} as ay", f"region_id % {ROW} - 1 as ax")
 
@@ -250,9 +268,8 @@ def contour_tips(parts: RegionParts) -> DataFrame:
             "image_id", "contour_id", "ax", "ay", "coalesce(b.x, ax) as bx", "coalesce(b.y, ay) as by"
         )
 
-    clockwise = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-    from_right = clockwise[4:] + clockwise[:4]
-    tips = last(outer_start, clockwise).join(outer_rim, ["image_id", "contour_id"], "left").unionByName(
+    from_right = CLOCKWISE[4:] + CLOCKWISE[:4]
+    tips = last(outer_start, CLOCKWISE).join(outer_rim, ["image_id", "contour_id"], "left").unionByName(
         last(hole_start, from_right).join(hole_rim, ["image_id", "contour_id"], "left")
     )
     return tips.selectExpr(

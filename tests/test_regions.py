@@ -99,6 +99,17 @@ def test_regions_match_border_walks(spark, masks, tile):
     assert tips == {(i, k): (v[7][0], v[7][-1]) for i, img in masks.items() for k, v in expected(img).items()}
 
 
+@pytest.mark.parametrize("tile", [8, 256])
+def test_points_of_a_contour_are_those_of_its_walk(spark, masks, tile):
+    line = np.zeros((5, 12), dtype=int)
+    line[2, 3:9] = 255  # six pixels, ten steps
+    more = {**masks, 3: line, 4: np.full((20, 20), 255), 5: np.array([[255]]), 6: np.array([[255, 0, 255]] * 3)}
+    tips = R.contour_tips(R.region_parts(table(spark, more), tile)).collect()
+    got = {(r.image_id, r.contour_id): r.n_points for r in tips}
+    assert got == {(i, k): len(v[7]) for i, img in more.items() for k, v in expected(img).items()}
+    assert got[3, 2 * R.ROW + 3] == 10 and got[4, 0] == 76
+
+
 def test_enclosure_follows_nesting(spark, masks):
     parts = R.region_parts(table(spark, {2: masks[2]}), 8)
     inside = {}
