@@ -19,7 +19,7 @@
 The table of sources is gathered in one row (it is a dimension: one entry per source). Everything else stays distributed.
 
 Defined cases: a null text has no words and is never drawn (its ``copies`` is 0); a null source is the last source; repeated rows are
-separate documents that share a hash; a single document that is larger than its source's target is taken or left, whichever is nearer; an
+separate documents that share a hash, and the cut may fall among them; a single document that is larger than its source's target is taken or left, whichever is nearer; an
 empty table gives no rows.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoloom.llm.tables import stored, word_count
-from cytoloom.plans.ranking import running_totals
+from cytoloom.plans.ranking import positions, running_totals
 
 WEIGHTS = (5, 2, 1)
 #: A source is cut into 2**SLICE_BITS slices of the hash range for running totals.
@@ -191,13 +191,14 @@ def plan_mix(
     block_words: int = 4096,
     seed: int = 17,
 ) -> DataFrame:
-    """``doc_id, text_hash, source, size, rows, source_size, target, copies, taken, shards`` per distinct document.
+    """``doc_id, text_hash, source, size, rows, half, source_size, target, copies, taken, shards`` per distinct document.
 
     ``rows`` counts equal rows of the input. The mix takes each of them ``copies`` times; ``shards`` names the shard of each copy.
+    Where the cut falls among equal rows they make two rows of the plan: ``half`` 0 has one more copy than ``half`` 1.
     """
     key = ["doc_id", "text_hash", "source", "size"]
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _identity().alias("text_hash"))
-    # Repeated rows are folded and drawn alike; ``mass`` is what all of them weigh.
+    # Repeated rows are folded; ``mass`` is what all of them weigh.
     sized = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).withColumn("mass", F.col("size") * F.col("rows"))
     sized = stored(sized, "mix-sizes")
     targets = source_targets(sized, weights, share, max_epochs)
@@ -208,7 +209,7 @@ def plan_mix(
     targets = stored(targets.withColumnRenamed("source", "_source"), "mix-targets")
     # Spark broadcasts the stored source tables if their files are small, else it splits hot sources.
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    large = F.col("mass") * LARGE > F.col("part")
+    large = F.col("size") * LARGE > F.col("part")
     in_large = stored(rows.where(large).groupBy("source_no").agg(F.sum("mass").alias("large_words")), "mix-large")
     rows = rows.join(in_large, "source_no", "left").withColumn("large_words", F.coalesce("large_words", F.lit(0)))
     fits = F.col("part") >= F.col("large_words")
@@ -218,21 +219,35 @@ def plan_mix(
     rows = rows.withColumn("at", F.shiftleft(ahead.cast("long"), 61) + order)
     rows = running_totals(rows, ["source_no"], "at", F.shiftrightunsigned("at", 61 - SLICE_BITS), {"upto": "mass"})
     rows = stored(rows.drop("large_words", "at", "weight"), "mix-order")
-    # The last epoch: whole documents while they fit, then one more that comes nearest to what is missing.
-    inside = (F.col("upto") <= F.col("part")) & (F.col("size") > 0)
-    used = rows.groupBy("source_no").agg(F.sum(F.when(inside, F.col("mass")).otherwise(0)).alias("used"))
-    used = stored(used, "mix-used")
+    # The last epoch: whole documents while they fit, then one more that comes nearest to what is missing. ``more`` counts the equal
+    # rows it takes.
+    fitting = F.floor((F.col("part") - (F.col("upto") - F.col("mass"))) / F.greatest("size", F.lit(1))).cast("long")
+    fitting = F.when(F.col("size") > 0, F.least(F.col("rows"), F.greatest(F.lit(0), fitting))).otherwise(0)
+    rows = rows.withColumn("more", F.when(F.col("epochs") < max_epochs, fitting).otherwise(0).cast("long"))
+    used = stored(rows.groupBy("source_no").agg(F.sum(F.col("size") * F.col("more")).alias("used")), "mix-used")
     gap = F.col("part") - F.col("used")
-    miss = F.struct(F.abs(F.col("mass") - gap).alias("miss"), "upto")
-    spare = rows.where(~inside & (F.col("size") > 0)).join(used, "source_no")
-    fill = spare.where((F.col("epochs") < max_epochs) & (F.abs(F.col("mass") - gap) < gap))
+    miss = F.struct(F.abs(F.col("size") - gap).alias("miss"), "upto")
+    spare = rows.where((F.col("more") < F.col("rows")) & (F.col("size") > 0)).join(used, "source_no")
+    fill = spare.where((F.col("epochs") < max_epochs) & (F.abs(F.col("size") - gap) < gap))
     fill = stored(fill.groupBy("source_no").agg(F.min(miss)["upto"].alias("fill")), "mix-fill")
-    more = inside | F.coalesce(F.col("upto") == F.col("fill"), F.lit(False))
-    copies = F.least(F.lit(max_epochs), F.col("epochs") + F.when(more, 1).otherwise(0))
-    rows = rows.join(fill, "source_no", "left").withColumn(
-        "copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(copies).cast("long")
+    # Documents without words have the running total of the one before them.
+    filling = F.coalesce((F.col("upto") == F.col("fill")) & (F.col("size") > 0), F.lit(False))
+    rows = rows.join(fill, "source_no", "left").withColumn("more", F.col("more") + F.when(filling, 1).otherwise(0))
+    # Equal rows are split at the cut: the first ``more`` of them have one more copy.
+    first = F.struct(
+        F.lit(0).alias("half"), F.col("more").alias("n"), (F.col("epochs") + 1).alias("copies"),
+        (F.col("upto") - F.col("mass") + F.col("size") * F.col("more")).alias("upto"),
+    )
+    rest = F.struct(
+        F.lit(1).alias("half"), (F.col("rows") - F.col("more")).alias("n"),
+        F.when(F.col("size") == 0, 0).otherwise(F.col("epochs")).alias("copies"), F.col("upto").alias("upto"),
+    )
+    halves = F.explode(F.filter(F.array(first, rest), lambda x: x["n"] > 0)).alias("h")
+    rows = rows.select(*key, "source_no", "source_size", "target", halves).select(
+        *key, "source_no", "source_size", "target", "h.half", F.col("h.n").alias("rows"), "h.upto", "h.copies"
     )
-    rows = stored(rows.select(*key, "rows", "mass", "source_no", "source_size", "target", "upto", "copies"), "mix-draws")
+    rows = rows.withColumn("mass", F.col("size") * F.col("rows"))
+    rows = stored(rows, "mix-draws")
     most = rows.groupBy("source_no").agg(
         F.max("copies").alias("most"), F.sum(F.col("mass") * F.col("copies")).alias("source_taken")
     )
@@ -251,19 +266,20 @@ def plan_mix(
     drawn = drawn.withColumn("start", before + F.coalesce(within, F.col("upto") - F.col("mass")))
     drawn = drawn.withColumn("block", F.expr(f"start div {block_words}"))
     dealt = drawn.join(runs, "source_no").where("block >= first_block and block < end_block")
-    shards = dealt.groupBy("doc_id", "text_hash", "source_no").agg(
+    shards = dealt.groupBy("doc_id", "text_hash", "source_no", "half").agg(
         F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_shards")
     )
     same = (
         F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
         & (F.col("d.text_hash") == F.col("s.text_hash"))
         & (F.col("d.source_no") == F.col("s.source_no"))
+        & (F.col("d.half") == F.col("s.half"))
     )
     return (
         rows.alias("d")
         .join(shards.alias("s"), same, "left")
         .select(
-            "d.doc_id", "d.text_hash", "d.source", "d.size", "d.rows", "d.source_size", "d.target", "d.copies",
+            "d.doc_id", "d.text_hash", "d.source", "d.size", "d.rows", "d.half", "d.source_size", "d.target", "d.copies",
             (F.col("d.size") * F.col("d.copies")).alias("taken"),
             F.coalesce(F.transform("_shards", lambda x: x["shard"]), F.array().cast("array<int>")).alias("shards"),
         )
@@ -272,22 +288,50 @@ def plan_mix(
 
 def per_document(plan: DataFrame) -> DataFrame:
     """Repeated rows of a plan written out again."""
-    return plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("_row", "rows")
+    return plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("_row", "rows", "half")
 
 
 def mix(docs: DataFrame, seed: int = 17, **settings) -> DataFrame:
     """The mix itself: every drawn copy as a row with all columns of ``docs``, ``mix_shard`` and ``mix_order``.
 
-    Sort by ``mix_order`` inside each shard to shuffle it. Rows equal in (doc_id, text, source) are drawn alike.
+    Sort by ``mix_order`` inside each shard to shuffle it. Of rows equal in (doc_id, text, source) the plan may give some one more copy than
+    the others; it does not matter which.
     """
-    plan = plan_mix(docs, seed=seed, **settings).where("copies > 0")
-    plan = plan.select("doc_id", "text_hash", "source", "shards").toDF("_id", "_hash", "_source", "_shards")
-    kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
-    same = (
-        docs["doc_id"].eqNullSafe(plan["_id"])
-        & (F.xxhash64(docs["doc_id"], docs["text"]) == plan["_hash"])
-        & docs["source"].eqNullSafe(plan["_source"])
+    plan = stored(plan_mix(docs, seed=seed, **settings), "mix-plan")
+    fold = ["doc_id", "text_hash", "source"]
+    named = ["_id", "_hash", "_source"]
+    # At the cut of a source, and at its filling document: few folds, and mostly none.
+    split = plan.groupBy(*fold).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("half") == 0, F.col("rows"))).alias("_first"),
+        F.max(F.when(F.col("half") == 0, F.col("shards"))).alias("_more"),
+        F.max(F.when(F.col("half") == 1, F.col("shards"))).alias("_less"),
     )
-    taken = docs.join(plan, same).select(*[docs[c] for c in kept], F.posexplode(plan["_shards"]).alias("__copy", "mix_shard"))
+    split = split.withColumn("_fold", F.monotonically_increasing_id())  # ids and sources may be null
+    split = stored(split.where("n > 1").drop("n").withColumnsRenamed(dict(zip(fold, named, strict=True))), "mix-split")
+    kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
+
+    def same(other: DataFrame) -> Column:
+        return (
+            docs["doc_id"].eqNullSafe(other["_id"])
+            & (F.xxhash64(docs["doc_id"], docs["text"]) == other["_hash"])
+            & docs["source"].eqNullSafe(other["_source"])
+        )
+
+    whole = plan.where("copies > 0").select(*fold, "half", "shards").toDF(*named, "half", "_shards")
+    cut = not split.isEmpty()
+    if cut:
+        gone = (
+            whole["_id"].eqNullSafe(split["_id"]) & (whole["_hash"] == split["_hash"]) & whole["_source"].eqNullSafe(split["_source"])
+        )
+        whole = whole.join(split, gone, "left_anti")
+    taken = docs.join(whole, same(whole)).select(*[docs[c] for c in kept], F.posexplode(whole["_shards"]).alias("__copy", "mix_shard"))
+    if cut:
+        # Equal rows are numbered per task that read them, and tasks by their counts, so no fold is sorted in one task.
+        rows = docs.join(split, same(split)).select(*[docs[c] for c in kept], *[split[c] for c in split.columns])
+        rows = stored(rows.withColumn("__task", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "mix-equal")
+        rows = positions(rows, ["_fold"], [F.col("__at")], F.col("__task"), "__n")
+        shards = F.when(F.col("__n") <= F.col("_first"), F.col("_more")).otherwise(F.col("_less"))
+        taken = taken.unionByName(rows.select(*kept, F.posexplode(shards).alias("__copy", "mix_shard")))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text", "__copy")
     return taken.select(*kept, "mix_shard", order.alias("mix_order"))

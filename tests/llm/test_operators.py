@@ -288,6 +288,18 @@ def test_mixing(docs, nothing):
     assert mixing.plan_mix(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("share,want", [(0.5, 50), (0.53, 50), (1.27, 130), (1.5, 150)])
+def test_mixing_splits_equal_rows_at_the_cut(spark, share, want):
+    rows = [(None, "a b c d e f g h i j", None)] * 9 + [(2, "k l m n o p q r s t", None), (3, "", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.per_document(mixing.plan_mix(docs, n_shards=2, block_words=20, share=share)).collect()
+    assert len(plan) == len(rows) and sum(r.taken for r in plan) == want
+    assert all(len(r.shards) == r.copies and r.taken == r.size * r.copies for r in plan)
+    mixed = mixing.mix(docs, n_shards=2, block_words=20, share=share).collect()
+    planned = collections.Counter((r.doc_id, s) for r in plan for s in r.shards)
+    assert collections.Counter((r.doc_id, r.mix_shard) for r in mixed) == planned
+
+
 def test_splitting_tree_keeps_quotas_and_is_hypergeometric(spark):
     quotas = spark.createDataFrame([(0, 600), (1, 5), (2, 0), (3, 195)], "source_no int, blocks long")
     runs = mixing.splitting_tree(quotas, 5, 1).collect()
