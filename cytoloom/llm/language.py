@@ -133,9 +133,10 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, switch: float
     order = np.argsort(-counts, kind="stable")
     counts, first = counts[order], first[order]
     alive = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), side="left")  # texts with more than t words
-    came = np.zeros(scores.shape, np.int8)
+    kind = np.min_scalar_type(scores.shape[1])  # as small as the number of languages allows
+    came = np.zeros(scores.shape, kind)
     best = np.zeros((len(counts), scores.shape[1]), np.float32)
-    states = np.arange(scores.shape[1], dtype=np.int8)
+    states = np.arange(scores.shape[1], dtype=kind)
     for t, k in enumerate(alive):
         at, now = first[:k] + t, best[:k]
         if t:
@@ -146,7 +147,7 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, switch: float
             now = np.where(stay, now, moved)
             now = now - now.max(axis=1, keepdims=True)
         best[:k] = now + scores[at]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), kind)
     state = best.argmax(axis=1)
     for t in range(len(alive) - 1, -1, -1):
         k = alive[t]

@@ -410,6 +410,18 @@ def test_viterbi_is_the_best_path_and_spans_switch(docs):
     assert top == "en" and [s[0] for s in spans] == ["en", "de"] and abs(spans[0][2] - 60) <= 2 and 0.5 < share < 0.7
 
 
+def test_language_with_200_languages(spark):
+    names = [f"l{i:03}" for i in range(200)]
+    rng = random.Random(7)
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(4))
+    own = {name: [word(i) for _ in range(12)] for i, name in enumerate(names)}
+    rows = [(name, sentence(rng, own[name], 40)) for name in names]
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    found = language.label_batch([text for _, text in rows] + [rows[150][1] + " " + rows[190][1]], model, 12.0)
+    assert [f[0] for f in found[:-1]] == names and {f[1] for f in found[:-1]} == {1.0}
+    assert found[-1][2] == [("l150", 0, 40), ("l190", 40, 80)]
+
+
 @pytest.mark.parametrize("frequent", [1_000_000, 12])
 def test_katz(docs, nothing, frequent):
     from pyspark.sql import functions as F
