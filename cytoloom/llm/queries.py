@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import decontam, katz, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls
+from cytoloom.llm import conversations, decontam, katz, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls
 from cytoloom.llm.tables import table
 
 
@@ -75,5 +75,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op9_katz, op10_suffix_dedup)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.summaries(conversations.repair(damaged))
+
+
+_ALL = (
+    op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op9_katz,
+    op10_suffix_dedup, op11_conversations,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}

@@ -93,4 +93,87 @@ s as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
 
-CHECKS = {"op7_topk": OP7, "op4_ngram_join": OP4, "op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
+
+
+def _add(path: str, cost, edits: str) -> str:
+    """Paths are strings: nine digits of cost, then edits; so the least string is the cheapest path, ties by edits."""
+    return f"(lpad(cast(cast(substr({path}, 1, 9) as int) + {cost} as varchar), 9, '0') || substr({path}, 10) || '{edits}')"
+
+
+_BEFORE_U = "least(t0, t1, t3)"
+_ROW = f"""
+  {_add('t0', 3, 'D')} as s0,
+  least({_add('t1', 3, 'D')}, case when not must and ini = 's' then {_add('t0', 'extra', 'K')} end) as s1,
+  least({_add('t2', 3, 'D')}, case when must then null when ini = 'u' then {_add(_BEFORE_U, 'extra', 'K')}
+    else {_add(_BEFORE_U, '2 + extra', 'R')} end) as s2,
+  least({_add('t3', 3, 'D')}, case when must then null when ini = 'a' then {_add('t2', 'extra', 'K')}
+    else {_add('t2', '2 + extra', 'R')} end) as s3"""
+
+OP11 = rf"""
+with recursive steps (byte, k, c) as (
+  select b, 0, b from range(256) t(b)
+  union all select byte, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from steps where k < 8),
+crc as (select list(c order by byte) as t from steps where k = 8),
+c as (select row_number() over () as r, * from conversations),
+hx as (select r, hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))) as hx from c),
+kind as (
+  select r, xor(4294967295, list_reduce(
+     list_prepend(cast(4294967295 as bigint), list_transform(range(0, len(hx) // 2),
+       lambda i: cast(16 * (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1 as bigint))),
+     lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]))) % 20 as kind from hx, crc),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+    case when kind in (0, 1) then '' when kind = 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text
+  from c join kind using (r), unnest(case when kind = 0 then [] when kind = 3 then [0, 1] else [0] end) u(copy)),
+e as (
+  select *, dense_rank() over (order by conv_id nulls first) as g,
+    row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again from d),
+o as (select *, row_number() over (partition by g order by turn nulls first, role, text, again) as i from e),
+f as materialized (
+  select g, i, conv_id, turn, role, text, left(role, 1) as ini,
+    case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when again then 'duplicate'
+      when not regexp_matches(text, '[.!?][ 	-
+]*\z') then 'truncated' else 'none' end as fault from o),
+walk (g, i, s0, s1, s2, s3) as (
+  select distinct g, cast(0 as bigint), '000000000', cast(null as varchar), cast(null as varchar), cast(null as varchar) from f
+  union all
+  select g, i + 1, s0, s1, s2, s3 from (
+    select g, i, {_ROW}
+    from (select *, least(s3, {_add('t2', 2, 'I')}) as t3 from (select w.g, w.i, s0 as t0, s1 as t1, s3,
+        least(s2, {_add('s0', 2, 'I')}, {_add('s1', 2, 'I')}, {_add('s3', 2, 'I')}) as t2, ini, fault in ('blank', 'duplicate') as must,
+        case when fault = 'truncated' then 1 else 0 end as extra
+      from walk w join f on f.g = w.g and f.i = w.i + 1) p) q) n),
+ends as (select g, max(i) as n from f group by g),
+best as (
+  select g, least(s0, s3, {_add('s2', 2, 'I')}, {_add('s0', 4, 'II')}, {_add('s1', 4, 'II')}) as path
+  from walk join ends using (g) where i = n),
+edits as (
+  select g, p, substr(path, 9 + p, 1) as e from (select g, path, unnest(range(1, length(path) - 8)) as p from best) x),
+placed as (
+  select *, sum(case when e = 'I' then 0 else 1 end) over (partition by g order by p) as i,
+    sum(case when e = 'D' then 0 else 1 end) over (partition by g order by p) as k from edits),
+whole as (
+  select placed.g, p, e, k, role, text, coalesce(max(case when k = 1 and e = 'K' and ini = 's' then 1 end) over (partition by placed.g), 0) as s
+  from placed left join f on f.g = placed.g and f.i = placed.i and e <> 'I'),
+fixed as (
+  select g, string_agg(case when e = 'K' then role when (k - s) % 2 = 1 then 'user' else 'assistant' end || ':' ||
+    case when e = 'I' then '' else text end, chr(10) order by p) as body from whole where e <> 'D' group by g),
+pairs as (
+  select g, count(*) as illegal from (select g, lag(ini) over (partition by g order by i) || ini as two from f) x
+  where two is not null and two not in ('su', 'ua', 'au') group by g),
+stats as (
+  select g, any_value(conv_id) as conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    sum(case when fault = 'blank' then 1 else 0 end) as blank, sum(case when fault = 'duplicate' then 1 else 0 end) as duplicate,
+    sum(case when fault = 'truncated' then 1 else 0 end) as truncated from f group by g),
+done as (
+  select conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) as illegal, cast(substr(path, 1, 9) as int) as cost,
+    substr(path, 10) as audit, sha256(coalesce(body, '')) as repaired_sha256
+  from stats join best using (g) left join fixed using (g) left join pairs using (g))
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank,
+ cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+ cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit,
+ coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join done on c.conv_id is not distinct from done.conv_id"""
+
+CHECKS = {"op11_conversations": OP11, "op7_topk": OP7, "op4_ngram_join": OP4, "op1_sharding": OP1, "op2_licenses": OP2, "op3_decontam": OP3}
