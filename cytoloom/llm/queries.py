@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import conversations, decontam, katz, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, urls, whitening
+from cytoloom.llm import conversations, decontam, katz, language, licenses, mixing, ngram_join, sharding, sql, suffix_dedup, topk, toxicity, urls, whitening
 from cytoloom.llm.tables import table
 
 
@@ -80,6 +80,16 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summaries(conversations.repair(damaged))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~out))
+    rows = toxicity.score(docs, model)
+    return rows.select(
+        "doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.sound_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return whitening.whiten(vectors, whitening.fit_whitening(vectors))
@@ -87,7 +97,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_sharding, op2_licenses, op3_decontam, op4_ngram_join, op5_mixing, op6_urls, op7_topk, op8_language, op9_katz,
-    op10_suffix_dedup, op11_conversations, op13_whitening,
+    op10_suffix_dedup, op11_conversations, op12_toxicity, op13_whitening,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 CHECKS = {name: text for name, text in sql.CHECKS.items() if name in QUERIES}
