@@ -191,6 +191,25 @@ def _wide_features(chosen: np.ndarray):
     return run
 
 
+def _feature_counts(batches, most: int = 500_000):
+    """(toxic, features) -> texts of each class per feature, added up in the task as far as ``most`` features go at a time."""
+    held: dict[str, list[int]] = {}
+
+    def flush():
+        clean, toxic = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(clean), pa.array(toxic)], ["feature", "clean", "toxic"])
+
+    for batch in batches:
+        for toxic, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for feature in features:
+                held.setdefault(feature, [0, 0])[toxic] += 1
+        if len(held) >= most:
+            yield flush()
+            held = {}
+    if held:
+        yield flush()
+
+
 def value(count, n_words):
     """100 times the feature's share of the words, kept within -1 and 1."""
     return np.clip(100.0 * count / np.maximum(n_words, 1), -1.0, 1.0)
@@ -292,8 +311,8 @@ def learn(docs: DataFrame, labels: DataFrame, pairing: float = PAIRING, ridge: f
         "toxicity-wide",
     )
     exact = (
-        wide.where("pair is null").select("toxic", F.explode("features").alias("feature"))
-        .groupBy("feature").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
+        wide.where("pair is null").select("toxic", "features").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
+        .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(f"clean + toxic >= {LEAST}")
     )
     names = [r["feature"] for r in exact.orderBy(_difference(*n).desc(), "feature").limit(FEATURES).select("feature").collect()]
