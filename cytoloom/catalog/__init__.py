@@ -6,7 +6,7 @@ import importlib
 
 from cytoloom.catalog.registry import CHECKS, QUERIES
 
-PARTS = ("sources", "boxes", "pixels", "stencils", "regions", "graph", "statistics", "labels", "flows")
+PARTS = ("sources", "boxes", "pixels", "stencils", "regions", "graph", "statistics", "labels", "flows", "tracing")
 
 
 def _load() -> None:

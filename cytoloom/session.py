@@ -56,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one table under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder.
+
+    For loops that join a table with itself: a checkpoint keeps the estimated size of its plan, which such a join squares each
+    round, until planning takes longer than the work; a written table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
