@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cytoloom.catalog.registry import greedy_sql, query
 from cytoloom.functions.geometry import padded, touches_border
 from cytoloom.functions.naming import extension, numbered
+from cytoloom.operators import attachment as AT
 from cytoloom.operators import boxes as B
 from cytoloom.operators import reports as R
 from cytoloom.session import cut_lineage
@@ -215,7 +216,7 @@ def _axis_gap(v):
 
 @query("dup_leg_sequential")
 def _sequential(v):
-    return B.dup_leg_sequential(v.boxes)
+    return AT.dup_leg_in_order(v.boxes)
 
 
 @query(

@@ -103,14 +103,6 @@ def test_seam_nms_equals_sequential(spark):
     assert ids(B.seam_nms(df)) == sorted(want)
 
 
-def test_sequential_merge_equals_one_pass_over_the_image(spark):
-    images = {i: random_boxes(80 + i, copies=False, side=260) for i in range(5)}
-    want = sorted((i, *k) for i, boxes in images.items() for k in B.merge_in_order([tuple(map(float, b)) for b in boxes])[0])
-    df = spark.createDataFrame([(i, *r) for i, boxes in images.items() for r in boxes], SCHEMA)
-    out = B.dup_leg_sequential(df).select("image_id", "j", "x", "y", "w", "h", "area", "legs").collect()
-    assert sorted(tuple(map(float, r)) for r in out) == [tuple(map(float, r)) for r in want]
-
-
 def test_one_box_copied_many_times_stays_cheap(spark):
     base = spark.range(200_000).selectExpr("1L image_id", "id j", "10L x", "10L y", "20L w", "20L h", "300L area")
     big = frame(spark, [(10**6, 0, 0, 100, 100, 9000)])
