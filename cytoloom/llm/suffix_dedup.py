@@ -13,7 +13,8 @@ are put in order only as far as that needs:
 4. *Order.* The refined buckets are sorted by identifier with documents rising; a string counts in every document but the first.
    A task reads its buckets in order and holds the identifiers of one q-gram bucket at a time (16 bytes each).
 
-Whole copies of an earlier document are settled first, by one small aggregate over (text hash, size), and give no suffixes.
+Whole copies of an earlier document are settled first, by one small aggregate over (text hash, size), and give no suffixes; equal rows of one
+document are folded to one. A document of several texts (a repeated id, or rows without an id) is told apart by the 64-bit hash of its texts.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a doc_id are one document, so none of them
 removes bytes of another; a null doc_id counts as larger than all; kept bytes need not be whole characters; an empty table gives no rows.
@@ -31,6 +32,8 @@ from cytoloom.llm.tables import stored
 
 #: Removed spans are broadcast to the texts up to this measured size; beyond it both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
+#: A small row as a broadcast holds it.
+ROW_BYTES = 96
 NO_ID = 2**63 - 1
 
 _RANDOM = np.random.default_rng(50).integers(1, 2**63, size=300, dtype=np.uint64) | np.uint64(1)
@@ -83,11 +86,11 @@ def kept_suffixes(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np
 
 
 def _suffixes(length: int, q: int):
-    """(doc, text_hash, text) -> (gram, doc, at); ``at`` packs place, window range and 16 bits of the text hash."""
+    """(doc, tag, text) -> (gram, doc, tag, at); ``at`` packs the place and the range of its windows."""
 
     def run(batches):
         for batch in batches:
-            grams, docs, ats = [], [], []
+            grams, docs, tags, ats = [], [], [], []
 
             def flush():
                 counts = [len(g) for g in grams]
@@ -95,23 +98,25 @@ def _suffixes(length: int, q: int):
                     [
                         pa.array(np.concatenate(grams)),
                         pa.array(np.repeat(np.array(docs, np.int64), counts)),
+                        pa.array(np.repeat(np.array(tags, np.int64), counts)),
                         pa.array(np.concatenate(ats)),
                     ],
-                    ["gram", "doc", "at"],
+                    ["gram", "doc", "tag", "at"],
                 )
 
             held = 0
-            for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None or len(text) < length:
                     continue
                 at, gram, far, near = kept_suffixes(np.frombuffer(text, np.uint8), length, q)
                 grams.append((gram >> np.uint64(16)).astype(np.int64))
                 docs.append(doc)
-                ats.append((at << 28) | (far << 22) | (near << 16) | (text_hash & 0xFFFF))
+                tags.append(tag)
+                ats.append((at << 12) | (far << 6) | near)
                 held += len(at)
                 if held > 400_000:
                     yield flush()
-                    grams, docs, ats, held = [], [], [], 0
+                    grams, docs, tags, ats, held = [], [], [], [], 0
             if grams:
                 yield flush()
 
@@ -126,7 +131,7 @@ def _contexts(length: int):
             found = batch.column(3)
             sizes = np.diff(found.offsets.to_numpy())
             gram, at = (found.flatten().field(i).to_numpy() for i in (0, 1))
-            place, far, near = at >> 28, (at >> 22) & 63, (at >> 16) & 63
+            place, far, near = at >> 12, (at >> 6) & 63, at & 63
             first, end = place - far, place - near + length
             row = 0
             docs, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -229,24 +234,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
     """``(doc, text_hash, spans)`` for documents that lose bytes; ``spans`` are disjoint, rising (first, end)."""
     keyed = _keyed(docs)
+    # Equal rows of one document count once; documents with several texts are told apart by the whole hash of the text.
+    held = stored(keyed.groupBy("doc", "text_hash", F.octet_length("text").cast("long").alias("end")).agg(F.count(F.lit(1)).alias("rows")), "suffix-texts")
+    again = held.where("rows > 1").select("doc", "text_hash")
+    n_again = again.count()
+    if n_again:
+        again = _bounded(again, ROW_BYTES * n_again)
+        repeated = keyed.join(again, ["doc", "text_hash"], "left_semi").dropDuplicates(["doc", "text_hash"])
+        keyed = keyed.join(again, ["doc", "text_hash"], "left_anti").unionByName(repeated)
+    many = held.groupBy("doc").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("doc", F.lit(True).alias("many"))
     # Whole copies of an earlier document.
-    whole = keyed.select("doc", "text_hash", F.octet_length("text").cast("long").alias("end")).where(F.col("end") >= length)
+    whole = held.where(F.col("end") >= length).drop("rows")
     least = whole.groupBy("text_hash", "end").agg(F.min("doc").alias("least")).toDF("_hash", "_end", "least")
     copies = whole.join(least, (F.col("text_hash") == F.col("_hash")) & (F.col("end") == F.col("_end")) & (F.col("doc") > F.col("least")))
     copies = stored(copies.select("doc", "text_hash", F.lit(0).cast("long").alias("first"), "end"), "suffix-copies")
-    known = _bounded(copies.select("doc", "text_hash").distinct(), 16 * copies.count())
+    known = _bounded(copies.select("doc", "text_hash"), ROW_BYTES * copies.count())
     keyed = keyed.join(known, ["doc", "text_hash"], "left_anti")
-    suffixes = keyed.select("doc", "text_hash", "text").mapInArrow(_suffixes(length, q), "gram long, doc long, at long")
+    n_many = many.count()
+    tag = F.when(F.col("many"), F.col("text_hash")).otherwise(0) if n_many else F.lit(0).cast("long")
+    keyed = keyed.join(_bounded(many, ROW_BYTES * n_many), "doc", "left") if n_many else keyed
+    keyed = keyed.select("doc", "text_hash", tag.alias("tag"), "text")
+    suffixes = keyed.select("doc", "tag", "text").mapInArrow(_suffixes(length, q), "gram long, doc long, tag long, at long")
     bucket = Window.partitionBy("gram")
     shared = suffixes.withColumn("lo", F.min("doc").over(bucket)).withColumn("hi", F.max("doc").over(bucket)).where("lo < hi")
-    low16 = F.col("at").bitwiseAND(F.lit(0xFFFF))
-    found = (
-        shared.groupBy("doc", low16.alias("low16")).agg(F.collect_list(F.struct("gram", "at")).alias("found"))
-    )
-    found = stored(found, "suffix-found").toDF("_doc", "_low16", "found")
-    texts = keyed.join(
-        found, (F.col("doc") == F.col("_doc")) & (F.col("text_hash").bitwiseAND(F.lit(0xFFFF)) == F.col("_low16"))
-    ).select("doc", "text_hash", "text", "found")
+    found = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "at")).alias("found"))
+    found = stored(found, "suffix-found").toDF("_doc", "_tag", "found")
+    texts = keyed.join(found, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "text_hash", "text", "found")
     near = texts.mapInArrow(_contexts(length), "gram long, doc long, text_hash long, start long, near binary")
     spans = near.repartition("gram").sortWithinPartitions("gram", "doc").mapInArrow(
         _repeats(length), "doc long, text_hash long, first long, end long"
@@ -268,7 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
     """All columns of ``docs``, and ``removed`` (disjoint byte spans first, end) and ``kept`` (the other bytes)."""
     spans = stored(repeated_spans(docs, length, q), "suffix-spans").toDF("_doc", "_hash", "_spans")
-    size = spans.agg(F.sum(16 * F.size("_spans") + 32)).first()[0] or 0
+    size = spans.agg(F.sum(16 * F.size("_spans") + ROW_BYTES)).first()[0] or 0
     spans = _bounded(spans, size)
     columns = [c for c in docs.columns if c not in ("removed", "kept")]
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")

@@ -503,3 +503,47 @@ def test_suffix_dedup_periodic_and_random_bytes(spark):
         want[i] = "".join(c for k, c in enumerate(t) if k not in gone).encode()
     got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: bytes(r.kept) for r in got} == want
+
+
+def plain_removal(rows, length=50):
+    """{(id, text): bytes removed}, null ids last; rows of one id are one document."""
+    key = lambda i: 2**63 - 1 if i is None else i
+    first = {}
+    for i, t in rows:
+        b = t.encode()
+        for k in range(len(b) - length + 1):
+            first[b[k : k + length]] = min(first.get(b[k : k + length], key(i)), key(i))
+    out = {}
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < key(i):
+                gone.update(range(k, k + length))
+        out[i, t] = len(gone)
+    return out
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_suffix_dedup_many_texts_of_one_document(spark, one_id):
+    """3,000 texts without an id, or of one id, that share a passage with document 1 (16 bits of a hash do not tell them apart)."""
+    rng = random.Random(12)
+    passage = sentence(rng, ENGLISH, 14)
+    rows = [(1, "start " + passage)]
+    rows += [(one_id, f"{sentence(rng, ENGLISH, rng.randint(0, 9))} {n} {passage} {n * n} " + sentence(rng, GERMAN, 8)) for n in range(3000)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {(r.doc_id, r.text): sum(s.end - s.first for s in r.removed) for r in got}
+    assert len(got) == len(rows) and removed == plain_removal(rows)
+
+
+def test_suffix_dedup_equal_rows_cost_one(spark, monkeypatch):
+    """Equal rows of one document are folded before suffixes are made."""
+    rng = random.Random(13)
+    text = sentence(rng, ENGLISH, 60)
+    rows = [(1, text[40:260])] + [(5, text)] * 800 + [(None, text + " end")] * 800
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    plain = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: sizes.append((name, plain(df, name))) or sizes[-1][1])
+    got = suffix_dedup.without_repeats(frame).collect()
+    assert {(r.doc_id, r.text): sum(s.end - s.first for s in r.removed) for r in got} == plain_removal(rows) and len(got) == len(rows)
+    assert dict(sizes)["suffix-found"].count() <= 3 and dict(sizes)["suffix-spans"].count() <= 3
