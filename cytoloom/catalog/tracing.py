@@ -95,3 +95,12 @@ select i.image_id, i.p contour_id, cast(count(*) as bigint) n_pixels from inside
 def _fill(v):
     spans = T.fill_spans(cut_lineage(traced(v).where("kind = 'outer'")))
     return spans.groupBy("image_id", "contour_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_pixels"))
+
+
+@query(
+    "contour_table",
+    TRACED + """select r.image_id, r.region_id, r.kind, r.x, r.y, r.w, r.h, r.area, n_points from regions r join
+  (select image_id, contour_id region_id, count(*) n_points from contour_pts group by all) using (image_id, region_id)""",
+)
+def _table(v):
+    return TR.contour_table(closed_mask(v), SMALL)
