@@ -16,7 +16,8 @@ from cytoloom.operators import histograms as H
 from cytoloom.operators import pixels as P
 from cytoloom.operators import regions as R
 from cytoloom.operators import stencils as N
-from cytoloom.operators.cells import colored_images, homogeneity
+from cytoloom.operators import tracing as TR
+from cytoloom.operators.cells import homogeneity
 from cytoloom.session import cut_lineage
 
 FRAME = ["image_id", "width", "height", "y", "x"]
@@ -51,21 +52,26 @@ def closed_mask(sharp: DataFrame) -> DataFrame:
 
 
 def extract_cells(px: DataFrame, sharp: DataFrame, min_area: int = 80, pad: int = 5, max_std: float = 10, min_level: int = 220) -> DataFrame:
-    """Numbered cells of every image from a sharpened map."""
-    parts = R.region_parts(closed_mask(sharp))
-    size = px.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    found = parts.contours().join(size, "image_id").withColumn("j", F.col("region_id"))
+    """Numbered cells of every image from a sharpened map.
+
+    Candidates come from border pieces, one row per piece; only contours that are still wanted after the box filters are listed point by point and
+    filled, and only their pixels are looked up.
+    """
+    # One pass over the image for its size and whether it has colour; one row per image.
+    images = cut_lineage(
+        P.add(px, cyan=C.cyan()).groupBy("image_id")
+        .agg(F.max("width").alias("width"), F.max("height").alias("height"), (F.max("cyan") > 0).alias("colored"))
+    )
+    size = images.select("image_id", "width", "height")
+    traced = TR.Traced(closed_mask(sharp))
+    found = traced.table().join(size, "image_id").withColumn("j", F.col("region_id"))
     candidates = cut_lineage(B.gate(found, "width", "height", min_area).select("image_id", "j", "x", "y", "w", "h", "area"))
     merged = cut_lineage(B.leg_attach(B.non_composite(candidates)))
 
-    # A cell's mask is its region with everything inside it, legs that joined it included in the box only.
-    inside = parts.enclosure().join(merged.selectExpr("image_id", "j as region_id"), ["image_id", "region_id"])
-    labelled = (
-        parts.foreground.where("own").unionByName(parts.background.where("own"))
-        .select("image_id", "y", "x", F.col("region_id").alias("inner"))
-    )
-    member = labelled.join(inside, ["image_id", "inner"]).select("image_id", "y", "x", F.col("region_id").alias("cell_id"))
-    flat = homogeneity(px.join(member, ["image_id", "y", "x"]), colored_images(px), max_std, min_level).where("not keep")
+    # A cell's mask is its contour filled; legs that joined it are included in the box only.
+    outlines = cut_lineage(traced.points(merged.selectExpr("image_id", "j as contour_id")))
+    member = TR.enclosed_pixels(outlines).withColumnRenamed("contour_id", "cell_id")
+    flat = homogeneity(px.join(member, ["image_id", "y", "x"]), images.select("image_id", "colored"), max_std, min_level).where("not keep")
     kept = merged.join(flat.selectExpr("image_id", "cell_id as j"), ["image_id", "j"], "left_anti")
     named = B.name_cells(kept).join(size, "image_id")
     return named.selectExpr(
