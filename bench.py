@@ -35,6 +35,8 @@ HEADLINE = [
     "canny",
     "crop_silhouette",
     "density_clusters",
+    "contour_table",
+    "dup_leg_sequential",
 ]
 #: Run once before the clock starts, so that no query carries the start of the JVM.
 WARM_UP = "gray_signal"

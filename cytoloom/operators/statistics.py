@@ -47,16 +47,17 @@ def spearman(df: DataFrame, a: str, b: str, buckets: dict[str, Column]) -> DataF
 
 
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way F from per-group sums."""
+    """One-way F. Squared deviations come from merged variances per group and overall, so large values cost no digits."""
     v = F.col(value).cast("double")
-    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    total = per.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"),
+    per = df.where(v.isNotNull()).rollup(group).agg(
+        F.count(F.lit(1)).alias("n"), (F.var_pop(v) * F.count(F.lit(1))).alias("squares"), F.grouping(group).alias("whole")
     )
-    return total.selectExpr(
-        "k", "n", "((between - s * s / n) / (k - 1)) / ((q - between) / (n - k)) as f"
+    group_row = F.col("whole") == 0
+    total = per.agg(
+        F.count_if(group_row).alias("k"), F.sum(F.when(group_row, F.col("n"))).alias("n"),
+        F.sum(F.when(group_row, F.col("squares"))).alias("within"), F.max(F.when(~group_row, F.col("squares"))).alias("every"),
     )
+    return total.selectExpr("k", "n", "((every - within) / (k - 1)) / (within / (n - k)) as f")
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:

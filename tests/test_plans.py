@@ -107,3 +107,12 @@ def test_crowded_location_keeps_all_its_neighbours_and_counts(spark):
     for r in near:
         got.setdefault(r.node, []).append(r.neighbour)
     assert {k: sorted(v) for k, v in got.items()} == {0: [1, 2], 1: [0, 2], 49999: [0, 1], 10**6: [0, 1]}
+
+
+def test_anova_keeps_digits_far_from_zero(spark):
+    from cytoloom.operators.statistics import anova_f
+
+    rows = [(g, 1e9 + g + 0.1 * ((7 * i) % 11)) for g in range(3) for i in range(400)]
+    far = anova_f(spark.createDataFrame(rows, "g long, v double"), "g", "v").first()
+    near = anova_f(spark.createDataFrame([(g, v - 1e9) for g, v in rows], "g long, v double"), "g", "v").first()
+    assert (far.k, far.n) == (3, 1200) and abs(far.f / near.f - 1) < 1e-5
