@@ -15,8 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null texts and texts without a letter."""
-    return language.predict(docs, language.learn(docs)).where("lang_pred <> 'und'").select(*COLUMNS)
+    """Drops null texts, texts without a letter, and those in none of the languages that the corpus labels."""
+    return language.recognised(docs, language.learn(docs)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ it was trained on have that script; where no language has it, all stay candidate
 batch take a step together, so a step is a few array operations however many texts there are. Runs of equal labels are the spans; the text's language
 is the one with most letters in its spans (ties: the first by name), and its score is that share of the letters.
 
+*Recognition.* ``lang_known`` is the share of a text's letters in words whose script a learned language has; ``lang_fit`` is the mean, over the
+trigrams of those words, of the log probability under their labels, less that of a uniform draw from the buckets. At 0 or less, chance explains the text as well as any language.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and no spans; so is every text if nothing was learned. Long
 texts are scored whole, in pieces of bounded size. Repeated rows get equal results.
 """
@@ -159,62 +162,90 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, switch: float
 
 def label_batch(texts: list[str | None], model: dict, switch: float):
     """Per text: language, score, spans as (lang, first word, end word)."""
+    return [found[:3] for found in describe_batch(texts, model, switch)]
+
+
+def describe_batch(texts: list[str | None], model: dict, switch: float):
+    """As ``label_batch``, and the number of letters, the share of letters in known scripts, and the fit."""
     langs, logs, fits = model["langs"], model["logs"], model["fits"]
-    out = [("und", 0.0, [])] * len(texts)
+    out = [("und", 0.0, [], 0, 0.0, 0.0)] * len(texts)
     some = [i for i, t in enumerate(texts) if t and has_letter(t)]
-    if not langs or not some:
-        return out
-    of, scores, sizes = [], [], []
+    of, scores, sizes, seen = [], [], [], []
     for text_of, bucket, start, script, letters in Pieces([texts[i] for i in some]):
         if not len(start):
             continue
-        own = np.add.reduceat(logs[bucket], start, axis=0)
-        can = fits[script]
-        known = can.any(axis=1)
-        own = np.where(known[:, None], np.where(can, own, IMPOSSIBLE), 0)
         of.append(text_of)
-        scores.append(own.astype(np.float32))
         sizes.append(letters)
+        if langs:
+            own = np.add.reduceat(logs[bucket], start, axis=0)
+            can = fits[script]
+            known = can.any(axis=1)
+            own = np.where(known[:, None], np.where(can, own, IMPOSSIBLE), 0)
+            scores.append(own.astype(np.float32))
+            seen.append(known)
     if not of:
         return out
-    of, scores, sizes = np.concatenate(of), np.concatenate(scores), np.concatenate(sizes)
+    of, sizes = np.concatenate(of), np.concatenate(sizes)
+    letters = np.bincount(of, weights=sizes, minlength=len(some))
+    if not langs:
+        for j, i in enumerate(some):
+            out[i] = ("und", 0.0, [], int(letters[j]), 0.0, 0.0)
+        return out
+    scores, seen = np.concatenate(scores), np.concatenate(seen)
     labels = viterbi(scores, of, len(some), switch)
     share = np.bincount(of * len(langs) + labels, weights=sizes, minlength=len(some) * len(langs)).reshape(-1, len(langs))
+    known = np.bincount(of, weights=sizes * seen, minlength=len(some))
+    gain = np.bincount(of, weights=np.where(seen, scores[np.arange(len(of)), labels] + sizes * np.log(BUCKETS), 0), minlength=len(some))
     first = np.searchsorted(of, np.arange(len(some)))
     edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (labels[1:] != labels[:-1])])
     end = np.r_[edge[1:], len(of)]
     cut = np.searchsorted(of[edge], np.arange(len(some) + 1))
     for j, i in enumerate(some):
-        if not share[j].any():
+        if not letters[j]:
             continue
         top = int(share[j].argmax())
         spans = [(langs[labels[edge[s]]], int(edge[s] - first[j]), int(end[s] - first[j])) for s in range(cut[j], cut[j + 1])]
-        out[i] = (langs[top], float(share[j][top] / share[j].sum()), spans)
+        fit = float(gain[j] / known[j]) if known[j] else 0.0
+        out[i] = (langs[top], float(share[j][top] / letters[j]), spans, int(letters[j]), float(known[j] / letters[j]), fit)
     return out
 
 
+MADE = "lang_pred string, lang_score double, lang_spans array<struct<lang:string,first_word:bigint,end_word:bigint>>, lang_letters bigint, lang_known double, lang_fit double"
+
+
 def predict(docs: DataFrame, model: dict, switch: float = 12.0) -> DataFrame:
-    """All columns of ``docs(text, ...)``, and ``lang_pred``, ``lang_score``, ``lang_spans``."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_spans")]
+    """All columns of ``docs(text, ...)``, and those of ``MADE``."""
+    names = [field.split()[0] for field in MADE.split(", ")]
+    kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
     place = kept.index("text")
     span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            found = label_batch(batch.column(place).to_pylist(), shared.value, switch)
+            found = describe_batch(batch.column(place).to_pylist(), shared.value, switch)
             made = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
                 pa.array([[dict(zip(("lang", "first_word", "end_word"), s, strict=True)) for s in f[2]] for f in found], span),
+                pa.array([f[3] for f in found], pa.int64()),
+                pa.array([f[4] for f in found], pa.float64()),
+                pa.array([f[5] for f in found], pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "lang_score", "lang_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return docs.select(*kept).mapInArrow(
-        run,
-        f"{fields}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,first_word:bigint,end_word:bigint>>",
-    )
+    return docs.select(*kept).mapInArrow(run, f"{fields}, {MADE}")
+
+
+def recognised(docs: DataFrame, model: dict, switch: float = 12.0, known: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` in a language of the model, with the columns of ``predict``.
+
+    Rejected are null texts, texts without a letter, texts of which less than ``known`` is in a script that a learned language has, and texts
+    that fit their labels no better than chance. If nothing was learned there is nothing to judge by, and every text with a letter stays.
+    """
+    rows = predict(docs, model, switch)
+    return rows.where((F.col("lang_known") >= known) & (F.col("lang_fit") > 0) if model["langs"] else F.col("lang_letters") > 0)
 
 
 def held_out(doc_id, parts: int, which: int):

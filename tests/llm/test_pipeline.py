@@ -32,4 +32,4 @@ def test_registration():
     for name in queries.QUERIES:
         assert name in contract.queries()
     assert "pipeline" in contract.queries() and set(queries.CHECKS) <= set(queries.QUERIES)
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
