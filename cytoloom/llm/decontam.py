@@ -26,6 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 16 << 20
+#: More than the words of any text (a string has at most 2^31 bytes, a word and its separator two of them).
+POSITIONS = 1 << 31
 
 
 def words(text: Column) -> Column:
@@ -42,24 +44,26 @@ def _fingerprints(text: Column, window: int) -> Column:
     w = window - k + 1
 
     def pick(ws: Column, grams: Column) -> Column:
-        best = F.transform(
-            F.sequence(F.lit(0), F.size(ws) - window),
-            lambda p: p + F.array_position(F.slice(grams, p + 1, w), F.array_min(F.slice(grams, p + 1, w))).cast("int") - 1,
-        )
+        best = F.transform(F.sequence(F.lit(1), F.size(ws) - window + 1), lambda p: F.array_min(F.slice(grams, p, w)))
+        at = F.transform(F.array_distinct(best), lambda g: g.bitwiseAND(F.lit(POSITIONS - 1)).cast("int"))
 
         def around(at: Column) -> Column:
             off = F.least(at, F.lit(window - k))
             return F.struct(
                 at.alias("at"),
-                grams[at].alias("hash"),
+                F.xxhash64(F.slice(ws, at + 1, k)).alias("hash"),
                 off.alias("off"),
                 F.slice(ws, at - off + 1, off + window).alias("near"),
             )
 
-        return F.transform(F.array_distinct(best), around)
+        return F.transform(at, around)
 
     def body(ws: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.xxhash64(F.slice(ws, i, k)))
+        # Hash above, position below: one minimum finds the smallest hash and, among equals, the leftmost gram.
+        grams = F.transform(
+            F.sequence(F.lit(1), F.size(ws) - k + 1),
+            lambda i: F.xxhash64(F.slice(ws, i, k)).bitwiseAND(F.lit(-POSITIONS)) + (i - 1),
+        )
         return F.when(F.size(ws) >= window, let(grams, lambda g: pick(ws, g)))
 
     return let(words(text), body)
