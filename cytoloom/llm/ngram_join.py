@@ -10,11 +10,12 @@ and differ in at most d(a, b) = (100 - p)(a + b)/(100 + p) shingles.
 *Size bands.* A band covers sizes from lo to 1.2 lo. A set sketches itself for its own band and, if its largest partner is in a following
 one, for those bands too; the band of the larger set is where a pair meets.
 
-*Pigeonhole.* A band's sketch is cut into chunks of 64 bits, more chunks than differences. A chunk with fewer than two set bits says
-little and is shared by chance, so a set emits its first d + 2 chunks *with* two bits (d: its largest possible difference in
-the band), or all chunks if it has fewer such. Then linked sets share at least two emitted chunks: let c be the second chunk with two bits that the
-two agree on. Before c, all other such chunks of either set are among the at most d chunks that differ, so both emit c and the one before it. c exists as
-soon as one of the two has d + 2 such chunks; if neither has, both emit everything, and two chunks must agree.
+*Pigeonhole.* A band's sketch is cut into chunks of 64 bits, more chunks than differences. For the chunks a shingle is a pattern of 64 bits in one chunk (its hash), which
+it flips; so two chunks agree, by any practical measure, only if the same shingles fall there, and each differing shingle spoils one chunk at most. Chunks are ranked by how many shingles
+they hold, most first, then by place: a chunk with few shingles says little, and is all inside a passage that many texts share more often. A set emits its
+first d + 2 chunks (d: its largest possible difference in the band). Then linked sets share at least two emitted chunks: chunks that agree hold equally many
+shingles, so the agreed ones (two at least) have the same order in both; before the second of them either set has the first and some of the at most d chunks that differ, so both
+emit it. Where d is 0 only equal sets link, and a set emits two keys of its whole.
 
 *Filter.* Each text also has one sketch of 1 to 2 bits per shingle, a power of two in all. Of two such sketches the longer is folded (xor of its halves) to
 the length of the other; a candidate pair whose Hamming distance exceeds d(a, b), or whose sizes are too different, cannot link and is dropped
@@ -48,8 +49,6 @@ from pyspark.sql import functions as F
 from cytoloom.llm.tables import stored
 from cytoloom.plans.components import connected_components
 
-#: Set bits from which a chunk is worth a key.
-BITS = 2
 #: Emitted chunks that two linked sets share at least.
 SHARED = 2
 #: Members of a bucket whose pairs are formed as rows; larger buckets are compared in memory.
@@ -105,7 +104,7 @@ def _band_of(size: int) -> tuple[int, int]:
 
 
 def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: any two linked sets share one."""
+    """Keys of a set: any two linked sets share ``SHARED`` of them."""
     a = len(items)
     if not a:
         return items
@@ -115,20 +114,18 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
     for k in range(first, last + 1):
         hi = _band_of(max(a, hi + 1))[1]
         most = (100 - percent) * (a + min(hi, largest)) // (100 + percent)
-        chunks = int(1.25 * ((100 - percent) * 2 * hi // (100 + percent) + SHARED)) + 1
-        # The chunk comes from the high bits, so sorted items are grouped by chunk already.
-        chunk = ((items >> _SHIFT) * np.uint64(chunks)) >> _SHIFT
-        start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        bits = np.bitwise_xor.reduceat(np.uint64(1) << (items & np.uint64(63)), start)
-        index = chunk[start]
-        telling = np.flatnonzero(np.bitwise_count(bits) >= BITS)
-        if len(telling) >= most + SHARED:
-            telling = telling[: most + SHARED]
-            bits, index = bits[telling], index[telling]
+        if most:
+            chunks = int(1.25 * ((100 - percent) * 2 * hi // (100 + percent) + SHARED)) + 1
+            # The chunk comes from the high bits, so sorted items are grouped by chunk already.
+            chunk = ((items >> _SHIFT) * np.uint64(chunks)) >> _SHIFT
+            start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+            at = chunk[start].astype(np.int64)
+            held, bits = np.zeros(chunks, np.int64), np.zeros(chunks, np.uint64)
+            held[at], bits[at] = np.diff(np.r_[start, a]), np.bitwise_xor.reduceat(items, start)
+            index = np.argsort(-held, kind="stable")[: most + SHARED]
+            bits, index = bits[index], index.astype(np.uint64)
         else:
-            every = np.zeros(chunks, np.uint64)
-            every[index.astype(np.int64)] = bits
-            bits, index = every, np.arange(chunks, dtype=np.uint64)
+            bits, index = np.bitwise_xor.reduce(items), np.arange(SHARED, dtype=np.uint64)
         out.append(_mixed(bits * _MULTIPLIERS[12] + (np.uint64(k << 40) + index) * _MULTIPLIERS[13]))
     return np.concatenate(out)
 
