@@ -247,6 +247,23 @@ def test_sketches_bound_differences():
         assert not linked or len(common) >= ngram_join.SHARED
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_chunks(percent):
+    """Sets of every small size, and some larger, with as many differences as a link allows, on one side or on both."""
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for size in [*range(1, 80), 150, 333, 900]:
+        a = np.unique(rng.integers(1, 2**63, size, dtype=np.uint64))
+        most = (100 - percent) * size // 100
+        for lost, new in {(0, 0), (most, 0), (0, size * 100 // percent - size), (most // 2, most // 2), (most // 3, most - most // 3)}:
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(1, 2**63, new, dtype=np.uint64)]))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                tried += 1
+                common = np.intersect1d(ngram_join.chunk_keys(a, percent), ngram_join.chunk_keys(b, percent))
+                assert len(common) >= ngram_join.SHARED, (size, lost, new)
+    assert tried > 200
+
+
 def brute_targets(sizes, share=1.5):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
