@@ -55,6 +55,8 @@ SHARED = 2
 SMALL = 64
 #: Members of a block, about.
 BLOCK = 1024
+#: Ids of texts to verify that are broadcast at most: about 64 bytes each in a task's hash table, 128 MB in all.
+SENT_IDS = 2_000_000
 #: Longest sketch, in 64-bit words, that is compared in memory; longer ones are folded.
 FOLDED = 32
 
@@ -125,7 +127,7 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
             index = np.argsort(-held, kind="stable")[: most + SHARED]
             bits, index = bits[index], index.astype(np.uint64)
         else:
-            bits, index = np.bitwise_xor.reduce(items), np.arange(SHARED, dtype=np.uint64)
+            bits, index = np.bitwise_xor.reduce(items, keepdims=True), np.arange(SHARED, dtype=np.uint64)
         out.append(_mixed(bits * _MULTIPLIERS[12] + (np.uint64(k << 40) + index) * _MULTIPLIERS[13]))
     return np.concatenate(out)
 
@@ -286,8 +288,10 @@ def _linked(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, perc
     both = pairs.join(vertices.toDF("b", "n_b", "sketch_b"), "b").join(vertices.toDF("a", "n_a", "sketch_a"), "a")
     both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     near = stored(both.mapInArrow(_near(percent), "a long, b long"), "join-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = _identified(docs).join(wanted, F.col("text_id") == F.col("wanted"), "left_semi")
+    wanted = stored(near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "join-wanted")
+    # Few ids go to the texts; only where they are too many, all texts are shuffled to the ids.
+    few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted.hint("merge")
+    texts = _identified(docs).join(few, F.col("text_id") == F.col("wanted"), "left_semi")
     texts = stored(texts.groupBy("text_id").agg(F.first("text").alias("text")), "join-texts")
     both = near.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, percent), "a long, b long")
