@@ -33,3 +33,26 @@ def test_stencils_on_small_images_shuffle_no_pixels(spark, name):
 @pytest.mark.parametrize("name", ["clahe", "clahe_scharr_fusion", "fused_composite"])
 def test_contrast_shuffles_no_pixels_by_level(spark, name):
     assert not [x for x in exchanges(contract.queries()[name](spark, SF)) if "_bin" in x]
+
+
+def test_border_pieces_lay_out_many_tiles_at_once_in_tasks_that_grow(spark, monkeypatch):
+    import numpy as np
+
+    from cytoloom.operators import tracing as TR
+
+    calls = []
+    monkeypatch.setattr(TR, "_pieces", lambda keys, *_: calls.append(len(keys)))
+    import pyarrow as pa
+
+    tiles = np.repeat(np.arange(40), 3)
+    cells = [np.full(120, 7), tiles, tiles * 0, tiles * 16 + np.tile([1, 2, 3], 40), np.full(120, 5)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["image_id", "ty", "tx", "y", "x"])
+    list(TR._chains(16)([whole.slice(0, 50), whole.slice(50)]))
+    assert sum(calls) == 40 and len(calls) == 3  # two batches and the tile held at the end, not one call per tile
+    monkeypatch.undo()
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    mask = spark.range(400).selectExpr("id div 20 as image_id", "(id % 20) * 20 as y", "1L as x", "255 as v")
+    traced = TR.Traced(mask, 16)
+    assert traced.table().count() == 400
+    assert traced.pieces.select("image_id").rdd.getNumPartitions() >= 1 and len(traced.pieces.inputFiles()) > 16
