@@ -21,9 +21,10 @@ emit it. Where d is 0 only equal sets link, and a set emits two keys of its whol
 the length of the other; a candidate pair whose Hamming distance exceeds d(a, b), or whose sizes are too different, cannot link and is dropped
 before any text is read again.
 
-*Candidates.* The rows (chunk key, text) of a key form a bucket. In buckets of at most 64 members all pairs are formed and counted; those that share
-two such buckets are candidates. A linked pair that does not share two small buckets shares a large one. In a large bucket every
-member is first paired with the smallest member only, which is linear; linked texts are joined to components. Large buckets that still span several components
+*Candidates.* The rows (chunk key, text) of a key form a bucket. Every member is first paired with the smallest member only, which is linear; pairs that share
+two buckets, or one of more than 64 members, are verified, and linked texts are joined to components. Buckets inside one component are done with. In those of at most
+64 members that span several, tasks compare a short sketch of 256 bits (nothing is folded, as every set has one) of members of different components; pairs that it allows
+in two such buckets are verified. A linked pair that does not share two small buckets shares a large one. Large buckets that still span several components
 are cut into blocks. Tasks compare the sketches of two blocks in memory and give only pairs from different components that the sketches allow: first the
 three closest per bucket and pair of components, and, after joining components again, all that are left. So a large group of near copies costs about one pair per member, no
 link between components is missed, and no task holds more than two blocks.
@@ -51,8 +52,10 @@ from cytoloom.plans.components import connected_components
 
 #: Emitted chunks that two linked sets share at least.
 SHARED = 2
-#: Members of a bucket whose pairs are formed as rows; larger buckets are compared in memory.
+#: Members of a bucket whose pairs must share two such buckets; larger buckets are cut into blocks.
 SMALL = 64
+#: Length of the short sketch that every set has, in 64-bit words.
+SHORT = 4
 #: Members of a block, about.
 BLOCK = 1024
 #: Ids of texts to verify that are broadcast at most: about 64 bytes each in a task's hash table, 128 MB in all.
@@ -132,9 +135,9 @@ def chunk_keys(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_sketch(items: np.ndarray) -> np.ndarray:
-    """One bit per hash value modulo a power of two from len(items) on: set where an odd number of items fall."""
-    bits = max(64, 1 << (max(1, len(items)) - 1).bit_length())
+def parity_sketch(items: np.ndarray, bits: int = 0) -> np.ndarray:
+    """One bit per hash value modulo ``bits``, else modulo a power of two from len(items) on: set where an odd number of items fall."""
+    bits = bits or max(64, 1 << (max(1, len(items)) - 1).bit_length())
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -152,7 +155,7 @@ def _sketcher(n: int, percent: int):
     def run(batches):
         known, seen = WordHashes(), {}
         for batch in batches:
-            sizes, lengths, keys, bits = [], [0], [], []
+            sizes, lengths, keys, bits, short = [], [0], [], [], []
             for text_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 size = seen.get(text_id)
                 if size is None:
@@ -162,9 +165,11 @@ def _sketcher(n: int, percent: int):
                     seen[text_id] = size = len(items)
                     keys.append(chunk_keys(items, percent))
                     bits.append(parity_sketch(items).tobytes() if size else None)
+                    short.append(parity_sketch(items, 64 * SHORT).tobytes() if size else None)
                     lengths.append(lengths[-1] + len(keys[-1]))
                 else:
                     bits.append(None)
+                    short.append(None)
                     lengths.append(lengths[-1])
                 sizes.append(size)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -175,8 +180,9 @@ def _sketcher(n: int, percent: int):
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat.view(np.int64))),
                     pa.array(bits, pa.binary()),
+                    pa.array(short, pa.binary()),
                 ],
-                ["doc_id", "text_id", "n_shingles", "keys", "sketch"],
+                ["doc_id", "text_id", "n_shingles", "keys", "sketch", "short"],
             )
 
     return run
@@ -237,6 +243,41 @@ def _units(batches):
             yield table.slice(lo, hi - lo)
 
 
+def _apart(percent: int):
+    """Rows (key, text_id, comp, n, short) sorted by key -> pairs of a key's texts in different components that sizes and short sketches allow."""
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows = [batch.column(i).to_numpy() for i in range(4)]
+                rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, SHORT))
+                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            key, text, comp, n, bits = held
+            bounds = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            # The key at the end of a batch may go on in the next one.
+            done = len(key) if batch is None else bounds[-2]
+            held = [x[done:] for x in held]
+            end, one = np.repeat(bounds[1:], np.diff(bounds)), np.arange(done)
+            # Each row with the row 1, 2, ... places after it, while that is in its bucket.
+            for away in itertools.count(1):
+                one = one[one + away < end[one]]
+                if not len(one):
+                    break
+                a = one[comp[one] != comp[one + away]]
+                b = a + away
+                both = n[a] + n[b]
+                fits = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= (100 - percent) * both // (100 + percent)
+                fits &= percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
+                a, b = text[a[fits]], text[b[fits]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 def _folded(sketch: bytes, words: int) -> np.ndarray:
     x = np.frombuffer(sketch, np.uint64)
     return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) > words else x
@@ -285,6 +326,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` (text ids) that link; ``vertices(text_id, n_shingles, sketch)``."""
+    vertices = vertices.select("text_id", "n_shingles", "sketch")
     both = pairs.join(vertices.toDF("b", "n_b", "sketch_b"), "b").join(vertices.toDF("a", "n_a", "sketch_a"), "a")
     both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     near = stored(both.mapInArrow(_near(percent), "a long, b long"), "join-near")
@@ -309,37 +351,46 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """
     sketches = stored(
         _identified(docs).mapInArrow(
-            _sketcher(n, percent), "doc_id long, text_id long, n_shingles long, keys array<long>, sketch binary"
+            _sketcher(n, percent), "doc_id long, text_id long, n_shingles long, keys array<long>, sketch binary, short binary"
         ),
         "join-sketches",
     )
     vertices = sketches.where("sketch is not null").groupBy("text_id").agg(
-        F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("short").alias("short")
     )
     vertices = stored(vertices, "join-vertices")
     bucket = Window.partitionBy("key")
     members = (
         sketches.select("text_id", F.explode("keys").alias("key"))
+        .repartition("key")
+        .distinct()
         .withColumn("pivot", F.min("text_id").over(bucket))
-        .withColumn("top", F.max("text_id").over(bucket))
         .withColumn("m", F.count(F.lit(1)).over(bucket))
-        .where("pivot < top")
-        .drop("top")
+        .where("m > 1")
     )
-    members = stored(members, "join-buckets").distinct()
-    small = members.where(F.col("m") <= SMALL).select("key", "text_id")
-    large = members.where(F.col("m") > SMALL)
-    both = small.withColumnRenamed("text_id", "a").join(small.withColumnRenamed("text_id", "b"), "key").where("a < b")
-    often = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
-    star = large.where("text_id <> pivot").select(F.col("pivot").alias("a"), F.col("text_id").alias("b"))
-    pairs = stored(often.unionByName(star).distinct(), "join-pairs")
+    members = stored(members, "join-buckets")
+    star = members.where("text_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("text_id").alias("b"))
+    star = star.agg(F.count(F.lit(1)).alias("shared"), F.max("m").alias("m")).where((F.col("shared") >= SHARED) | (F.col("m") > SMALL))
+    pairs = stored(star.select("a", "b"), "join-pairs")
     links = [stored(_linked(docs, vertices, pairs, n, percent), "join-links")]
     comps = stored(_components(links), "join-components")
+    def open_buckets(rows):
+        """Rows of the buckets that span several components, with how many rows those have."""
+        named = rows.select("key", "text_id").join(comps, "text_id", "left").withColumn("comp", F.coalesce("comp", "text_id"))
+        spans = {"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket), "m": F.count(F.lit(1)).over(bucket)}
+        return named.withColumns(spans).where("c0 < c1").select("key", "text_id", "comp", "m")
+
+    small = open_buckets(members.where(F.col("m") <= SMALL)).join(vertices, "text_id").select("key", "text_id", "comp", "n_shingles", "short")
+    apart = small.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(percent), "a long, b long")
+    often = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED)
+    more = stored(often.select("a", "b"), "join-apart")
+    if not more.isEmpty():
+        links.append(stored(_linked(docs, vertices, more, n, percent), "join-links"))
+        comps = stored(_components(links), "join-components")
+    large = members.where(F.col("m") > SMALL)
     for closest in (3, None):
-        named = large.select("key", "text_id").join(comps, "text_id", "left").withColumn("comp", F.coalesce("comp", "text_id"))
-        spans = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
-        spans = spans.where("c0 < c1").select("key", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)").alias("blocks"))
-        large = stored(named.join(spans, "key").select("key", "text_id", "comp", "blocks"), "join-open")
+        large = open_buckets(large).select("key", "text_id", "comp", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)").alias("blocks"))
+        large = stored(large, "join-open")
         if large.isEmpty():
             break
         own = F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int")

@@ -235,6 +235,25 @@ def test_ngram_join_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(comp))
 
 
+def test_ngram_join_pairs_of_a_group_grow_with_its_members(spark, monkeypatch):
+    """Buckets of up to 64 near copies: every member is paired a few times, not with every other one."""
+    rows = {}
+
+    def counting(df, name, stored=ngram_join.stored):
+        out = stored(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name in ("join-pairs", "join-apart") else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(300)]
+    texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate(rng.sample(range(300), 60))]
+    got = ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    # All pairs would be 1,770.
+    assert 59 <= rows["join-pairs"] + rows["join-apart"] < 8 * 60, rows
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(0)
     for size in (3, 40, 700):
