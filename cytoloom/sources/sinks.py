@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,11 +43,33 @@ def write_by_image(
     )
 
 
-def write_layers(df: DataFrame, path: str, layers: Sequence[str]) -> None:
-    """Persist several value columns of one pixel table as layers, each in its own folder."""
+def image_folder(folders: int) -> Column:
+    """The folder of an image where ``folders`` of them hold all images."""
+    return F.pmod(F.xxhash64(F.col("image_id").cast("long")), F.lit(folders)).cast("int")
+
+
+def write_in_folders(df: DataFrame, path: str, folders: int, by: Sequence[str] = (), max_rows: int = 5_000_000) -> None:
+    """Write a whole table with many images per folder (and folders of the ``by`` columns), images in order inside.
+
+    For small images: a folder and a file per image cost more than their rows. A filter on image_id skips row groups, and one on ``folder`` (see
+    :func:`image_folder`) reads one folder. Tables that are replaced image by image need :func:`write_by_image`.
+    """
+    (
+        df.withColumn("folder", image_folder(folders))
+        .hint("rebalance", *by, "folder")
+        .sortWithinPartitions(*by, "folder", "image_id")
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", max_rows)
+        .partitionBy(*by, "folder")
+        .parquet(path)
+    )
+
+
+def write_layers(df: DataFrame, path: str, layers: Sequence[str], folders: int) -> None:
+    """Persist several value columns of one pixel table as layers, each in its own folders."""
     pairs = ", ".join(f"'{c}', cast({c} as bigint)" for c in layers)
     long = df.selectExpr("image_id", "y", "x", f"stack({len(layers)}, {pairs}) as (layer, v)")
-    write_by_image(long, path, by=("layer", "image_id"))
+    write_in_folders(long, path, folders, by=("layer",))
 
 
 def write_html(fragments: DataFrame, path: str) -> None:

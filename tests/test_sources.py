@@ -71,6 +71,30 @@ def test_image_partitions_are_replaced_alone_and_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(image_id" in plan
 
 
+def test_folders_do_not_grow_with_the_images(spark, tmp_path):
+    """One folder per image made the number of files that of the images."""
+    path = str(tmp_path / "t")
+    rows = spark.range(900).selectExpr("id % 300 as image_id", "id as shard_index", "cast(null as binary) as image",
+                                       "cast(null as binary) as mask", "array(1f) as embedding", "1 as label", "array(id) as bbox")
+    K.write_in_folders(rows, path, 4)
+    assert {p.name for p in (tmp_path / "t").glob("*=*")} == {f"folder={k}" for k in range(4)}
+    back = D.read_shards(spark, path)
+    assert back.groupBy("image_id").count().where("count = 3").count() == 300
+    wanted = spark.range(1).select(F.lit(17).alias("image_id")).select(K.image_folder(4)).first()[0]
+    one = back.where((F.col("image_id") == 17) & (F.col("folder") == wanted))
+    assert one.count() == 3 and "PartitionFilters: [isnotnull(folder" in one._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["shard_scan", "training_batch_fetch"])
+def test_shards_are_written_in_few_folders(spark, monkeypatch, tmp_path, name):
+    import __spark_entry__ as contract
+    from cytoloom.catalog import sources
+
+    monkeypatch.setattr(sources, "scratch_path", lambda _, what: str(tmp_path / what))
+    contract.queries()[name](spark, "/root/testdata/sf0.001")
+    assert 1 <= len(list((tmp_path / "shards").glob("*=*"))) <= 4
+
+
 def test_upsert_keeps_unchanged_fields(spark):
     now = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id long, state string, cluster long")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, state string")
