@@ -38,7 +38,8 @@ def training_rows(documents: DataFrame, shards: DataFrame, wanted: Column) -> Da
         F.col("spatial_coordinates.bbox").alias("bbox"),
     )
     data = shards.select("image_id", "shard_index", "image", "mask", "embedding")
-    return chosen.join(data, ["image_id", "shard_index"])
+    # Sizes estimated from packed files would send parsed documents through the driver as a broadcast.
+    return chosen.join(data.hint("merge"), ["image_id", "shard_index"])
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,7 +91,8 @@ def test_shards_are_written_in_few_folders(spark, monkeypatch, tmp_path, name):
     from cytoloom.catalog import sources
 
     monkeypatch.setattr(sources, "scratch_path", lambda _, what: str(tmp_path / what))
-    contract.queries()[name](spark, "/root/testdata/sf0.001")
+    found = contract.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert 1 <= len(list((tmp_path / "shards").glob("*=*"))) <= 4
 
 
