@@ -45,6 +45,12 @@ def test_edges_meet_pixels_by_image(spark, name):
     assert "ShuffledHashJoin" in text
 
 
+def test_crops_take_pixels_without_a_shuffle(spark):
+    """Boxes and their centres meet pixels by image; each crop is then one row."""
+    text = plan(contract.queries()["embed_batch"](spark, SF))
+    assert "MergeJoin" not in text and "gx#" not in text
+
+
 def test_border_pieces_lay_out_many_tiles_at_once_in_tasks_that_grow(spark, monkeypatch):
     import numpy as np
 
