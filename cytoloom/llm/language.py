@@ -8,7 +8,8 @@ A word's score for a language is the sum of the log probabilities of its trigram
 it was trained on have that script; where no language has it, all stay candidates and the word tells nothing.
 
 *Viterbi.* The best sequence of word labels maximises the word scores minus ``switch`` for every change of language. All texts of a
-batch take a step together, so a step is a few array operations however many texts there are. Runs of equal labels are the spans; the text's language
+group take a step together, so a step is a few array operations however many texts there are. Groups hold texts of like length and ``GROUP`` characters
+(or one longer text), so that memory does not follow the size of a batch. Runs of equal labels are the spans; the text's language
 is the one with most letters in its spans (ties: the first by name), and its score is that share of the letters.
 
 *Recognition.* ``lang_known`` is the share of a text's letters in words whose script a learned language has; ``lang_fit`` is the mean, over the
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Characters scored at a time.
 PIECE = 1 << 20
+#: Characters whose words are labelled together.
+GROUP = 1 << 21
 IMPOSSIBLE = -1e6
 
 #: First code points of Unicode blocks and the script of the letters from there on.
@@ -167,11 +170,25 @@ def label_batch(texts: list[str | None], model: dict, switch: float):
 
 def describe_batch(texts: list[str | None], model: dict, switch: float):
     """As ``label_batch``, and the number of letters, the share of letters in known scripts, and the fit."""
+    out = [("und", 0.0, [], 0, 0.0, 0.0)] * len(texts)
+    some = sorted((i for i, t in enumerate(texts) if t and has_letter(t)), key=lambda i: -len(texts[i]))
+    group, size = [], 0
+    for n, i in enumerate(some):
+        group.append(i)
+        size += len(texts[i])
+        if size >= GROUP or n == len(some) - 1:
+            for j, found in zip(group, _describe([texts[j] for j in group], model, switch), strict=True):
+                out[j] = found
+            group, size = [], 0
+    return out
+
+
+def _describe(texts: list[str], model: dict, switch: float):
+    """As ``describe_batch``, for texts with a letter, all at once."""
     langs, logs, fits = model["langs"], model["logs"], model["fits"]
     out = [("und", 0.0, [], 0, 0.0, 0.0)] * len(texts)
-    some = [i for i, t in enumerate(texts) if t and has_letter(t)]
     of, scores, sizes, seen = [], [], [], []
-    for text_of, bucket, start, script, letters in Pieces([texts[i] for i in some]):
+    for text_of, bucket, start, script, letters in Pieces(texts):
         if not len(start):
             continue
         of.append(text_of)
@@ -186,27 +203,25 @@ def describe_batch(texts: list[str | None], model: dict, switch: float):
     if not of:
         return out
     of, sizes = np.concatenate(of), np.concatenate(sizes)
-    letters = np.bincount(of, weights=sizes, minlength=len(some))
+    letters = np.bincount(of, weights=sizes, minlength=len(texts))
     if not langs:
-        for j, i in enumerate(some):
-            out[i] = ("und", 0.0, [], int(letters[j]), 0.0, 0.0)
-        return out
+        return [("und", 0.0, [], int(n), 0.0, 0.0) for n in letters]
     scores, seen = np.concatenate(scores), np.concatenate(seen)
-    labels = viterbi(scores, of, len(some), switch)
-    share = np.bincount(of * len(langs) + labels, weights=sizes, minlength=len(some) * len(langs)).reshape(-1, len(langs))
-    known = np.bincount(of, weights=sizes * seen, minlength=len(some))
-    gain = np.bincount(of, weights=np.where(seen, scores[np.arange(len(of)), labels] + sizes * np.log(BUCKETS), 0), minlength=len(some))
-    first = np.searchsorted(of, np.arange(len(some)))
+    labels = viterbi(scores, of, len(texts), switch)
+    share = np.bincount(of * len(langs) + labels, weights=sizes, minlength=len(texts) * len(langs)).reshape(-1, len(langs))
+    known = np.bincount(of, weights=sizes * seen, minlength=len(texts))
+    gain = np.bincount(of, weights=np.where(seen, scores[np.arange(len(of)), labels] + sizes * np.log(BUCKETS), 0), minlength=len(texts))
+    first = np.searchsorted(of, np.arange(len(texts)))
     edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (labels[1:] != labels[:-1])])
     end = np.r_[edge[1:], len(of)]
-    cut = np.searchsorted(of[edge], np.arange(len(some) + 1))
-    for j, i in enumerate(some):
+    cut = np.searchsorted(of[edge], np.arange(len(texts) + 1))
+    for j in range(len(texts)):
         if not letters[j]:
             continue
         top = int(share[j].argmax())
         spans = [(langs[labels[edge[s]]], int(edge[s] - first[j]), int(end[s] - first[j])) for s in range(cut[j], cut[j + 1])]
         fit = float(gain[j] / known[j]) if known[j] else 0.0
-        out[i] = (langs[top], float(share[j][top] / letters[j]), spans, int(letters[j]), float(known[j] / letters[j]), fit)
+        out[j] = (langs[top], float(share[j][top] / letters[j]), spans, int(letters[j]), float(known[j] / letters[j]), fit)
     return out
 
 

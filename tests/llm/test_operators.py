@@ -523,6 +523,23 @@ def test_viterbi_is_the_best_path_and_spans_switch(docs):
     assert top == "en" and [s[0] for s in spans] == ["en", "de"] and abs(spans[0][2] - 60) <= 2 and 0.5 < share < 0.7
 
 
+def test_language_labels_bounded_groups_of_texts(monkeypatch):
+    """A batch of many texts is labelled group by group, with the same results in the same order."""
+    langs = ["aa", "bb"]
+    rng = np.random.default_rng(3)
+    model = {
+        "langs": langs, "logs": rng.normal(-11, 1, (language.BUCKETS, 2)).astype(np.float32),
+        "fits": np.ones((len(language.NAMES), 2), bool),
+    }
+    texts = ["".join(rng.choice(list("abcde "), int(n))) for n in rng.integers(1, 400, 60)] + [None, "", "12", "abc " * 500]
+    alone = [language.describe_batch([t], model, 2.0)[0] for t in texts]
+    sizes, plain = [], language.viterbi
+    monkeypatch.setattr(language, "GROUP", 1000, raising=False)
+    monkeypatch.setattr(language, "viterbi", lambda scores, *rest: sizes.append(len(scores)) or plain(scores, *rest))
+    assert language.describe_batch(texts, model, 2.0) == alone
+    assert len(sizes) > 5 and max(sizes) <= 700  # the long text has 500 words
+
+
 def test_language_with_200_languages(spark):
     names = [f"l{i:03}" for i in range(200)]
     rng = random.Random(7)
