@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import HashingTF
 
@@ -596,6 +597,36 @@ def test_katz(docs, nothing, frequent):
     assert words.total == 0 and all(r.n_known == 0 and r.score == 0 for r in blind.collect())
 
 
+def test_katz_common_pairs_change_nothing(spark, docs, monkeypatch):
+    """Pairs settled where their text is and pairs that are shuffled give the same scores."""
+    from pyspark.sql import functions as F
+
+    rows = []
+    for part, most in ((1, 1 << 19), (1, 7), (1, 0)):
+        monkeypatch.setattr(katz, "PART", part, raising=False)
+        monkeypatch.setattr(katz, "COMMON", most, raising=False)
+        got, _ = katz.score_texts(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)), frequent=30, salted=3)
+        rows.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in got.collect()))
+    for a, b, c in zip(*rows, strict=True):
+        assert a == pytest.approx(b) and a == pytest.approx(c)
+
+
+def test_katz_settles_a_text_in_one_row_per_task(monkeypatch):
+    """Sums of a text's seen pairs go on from step to step, and two codes share one key."""
+    monkeypatch.setattr(katz, "GATHER", 4, raising=False)
+    words = katz.Words(np.array([5, 6, 7]), np.array([9, 8, 7]), 4, {}, 24)
+    shared = type("Shared", (), {"value": words})
+    keys = sorted([(u << 20 | w, 0, t << 1 | 1, 1, 4, 4) for u in (2, 3, 4) for w in (2, 3, 4) for t in range(4)])
+    names = ["key", "w", "text", "n", "c", "c_u"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in keys[k : k + 4]]) for i in range(6)], names) for k in range(0, 36, 4)]
+    got = [row for b in katz._settle(shared)(iter(batches)) for row in b.to_pylist()]
+    texts = [r for r in got if r["kind"] == 0]
+    assert sorted((r["id"], r["r4"]) for r in texts) == [(t, 9) for t in range(4)]
+    p = words.probability(words.counts)[2:5]
+    assert [r["s"] for r in texts] == [pytest.approx(9 * math.log10(4) - 3 * np.log10(p).sum())] * 4
+    assert sum(r["other"] for r in got if r["kind"] == 1) == 9 * 4
+
+
 def test_suffix_dedup(docs, nothing):
     order = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t, *_ in ROWS]
     first = {}
