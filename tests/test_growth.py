@@ -46,3 +46,18 @@ def test_crops_are_dealt_by_their_pixels(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 500)
     CR.silhouettes(Views(spark, SF))
     assert kept and "MergeJoin" not in plan(kept[0]) and kept[0].rdd.getNumPartitions() >= 10
+
+
+def test_closing_report_labels_pixels_for_tips_alone(spark, tmp_path, monkeypatch):
+    items = [(i, p * 7 % 50, p * 11 % 90, 1 + p % 7) for i in (3, 8) for p in range(60)]
+    px = tables(spark, tmp_path, [3, 8], items).px
+    calls, label = [], R.label_pixels
+    monkeypatch.setattr(R, "label_pixels", lambda *a, **b: calls.append(1) or label(*a, **b))
+    closed = []
+    close = X.close_borders
+    monkeypatch.setattr(X, "close_borders", lambda *a, **b: closed.append(close(*a, **b)) or closed[-1])
+    held = {r.image_id: tuple(r) for r in X.closing_report(px, together=True).collect()}
+    assert len(calls) == 2  # set pixels and background of the mask, not of the closed one
+    assert held == {r.image_id: tuple(r) for r in X.closing_report(px).collect()} and set(held) == {3, 8}
+    filled = {r["image_id"]: r["count"] for r in R.filled_regions(closed[0]["closed"]).groupBy("image_id").count().collect()}
+    assert {i: row[-1] for i, row in held.items()} == {i: filled.get(i, 0) for i in held} and any(filled.values())
