@@ -61,3 +61,20 @@ def test_closing_report_labels_pixels_for_tips_alone(spark, tmp_path, monkeypatc
     assert held == {r.image_id: tuple(r) for r in X.closing_report(px).collect()} and set(held) == {3, 8}
     filled = {r["image_id"]: r["count"] for r in R.filled_regions(closed[0]["closed"]).groupBy("image_id").count().collect()}
     assert {i: row[-1] for i, row in held.items()} == {i: filled.get(i, 0) for i in held} and any(filled.values())
+
+
+def test_waves_take_only_images_whose_joins_changed(spark, monkeypatch):
+    """An image with a long chain of joins does not make the others go round again; results are those of taking turns."""
+    from cytoloom.operators import attachment as AT
+    from tests.test_attachment import by_turns, result
+    from tests.test_boxes import SCHEMA, random_boxes
+
+    images = {i: random_boxes(90 + i, n=60, copies=bool(i % 2)) for i in range(4)}
+    images[4] = [(1, 0, 0, 20, 20, 300)]  # no partner at all
+    images[5] = [(1, 0, 0, 30, 30, 600), (2, 32, 0, 10, 10, 80)]  # settled by the first wave
+    taken, states = [], AT.body_states
+    monkeypatch.setattr(AT, "body_states", lambda j, b, o=None: taken.append({r.image_id for r in b.select("image_id").distinct().collect()}) or states(j, b, o))
+    df = spark.createDataFrame([(i, *b) for i, rows in images.items() for b in rows], SCHEMA)
+    assert result(AT.dup_leg_in_order(df)) == {i: by_turns(rows) for i, rows in images.items()}
+    assert 4 not in taken[0] and 5 in taken[0] and all(b <= a for a, b in zip(taken, taken[1:]))
+    assert len(taken) > 1 and 5 not in taken[1]
